@@ -1,0 +1,445 @@
+"""Each operator against a plain Python version of what it has to give."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from cubespan.llm import _graph, _shared, _text, _tokens, jaccard, lm, mixing, packing, quality, secrets, substring, token_count, token_file, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lowered(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def library(path):
+    return _tokens.tokenizer(path)
+
+
+# Text
+
+
+def test_words_and_hashes():
+    texts = ["", "a", " a", "a ", "ab\tcd  ef\n", None, "ab", "é ß"]
+    data, off = _text.utf8(pa.array(texts))
+    starts, ends, first = _text.words(data, off)
+    got = [bytes(data[a:z]).decode() for a, z in zip(starts, ends)]
+    assert got == [w for t in texts for w in WORD.findall(t or "")]
+    assert np.diff(first).tolist() == [len(WORD.findall(t or "")) for t in texts]
+    h = _text.hash_spans(data, starts, ends, block=2)
+    assert len(set(h.tolist())) == len(set(got)) and (h == _text.hash_spans(data, starts, ends)).all()
+
+
+def test_grams_and_windows_agree_with_equality():
+    r = np.random.default_rng(1)
+    h = _text.mix(r.integers(0, 3, 400).astype(np.uint64))
+    for f in (_text.grams, _text.windows):
+        g = f(h, 4)
+        seen = defaultdict(set)
+        for i, x in enumerate(g.tolist()):
+            seen[x].add(tuple(h[i : i + 4].tolist()))
+        assert all(len(s) == 1 for s in seen.values()) and len(seen) == len({tuple(h[i : i + 4].tolist()) for i in range(len(g))})
+        assert len(f(h[:3], 4)) == 0
+
+
+def test_packed_integers():
+    k = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64))
+    a, b = _shared.unpack_sorted(_shared.pack_sorted(k, np.arange(1000)))
+    assert (a == k).all() and (b == np.arange(1000)).all()
+    assert [len(c) for c in _shared.unpack(_shared.pack(np.zeros(0, np.int64), np.zeros(0, np.int64)))] == [0, 0]
+    cuts = _shared.bucket_cuts(k, 7)
+    assert cuts[0] == 0 and cuts[-1] == 1000 and all(int(k[i]) * 7 >> 64 == b for b in range(7) for i in range(cuts[b], cuts[b + 1]))
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (5, 5), (20, 21), (21, 22), (22, 23), (23, 24), (3, 24)]
+    got = {(r.node, r.component) for r in _graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(n, 1) for n in (1, 2, 3, 20, 21, 22, 23, 24)} | {(8, 8), (9, 8)}
+    a, b = _graph.forest(np.array([1, 2, 1, 7]), np.array([2, 3, 3, 8]))
+    assert len(a) == 3
+    assert _graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1
+
+
+def test_lm(docs, no_docs, rows):
+    got = {}
+    for r in lm.score(docs).collect():
+        got.setdefault(r.doc_id, r)
+    tokens = {i: [*WORD.findall(lowered(t)), "</end>"] for i, t, *_ in rows}
+    train = Counter(w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*WORD.findall(lowered(t)), "</end>"])
+    n, v = sum(train.values()), len(train)
+    assert set(got) == set(tokens)
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens[i]), sum(train[w] > 0 for w in tokens[i]), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i]), abs=1e-6)
+        assert r.score < 0
+    assert lm.score(docs).count() == len(rows)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert lm.score(no_docs).count() == 0
+
+
+def test_lm_scores_are_probabilities_of_the_mixture(spark):
+    texts = [(i, " ".join("a b c a b d".split()[: 2 + i % 5])) for i in range(60)]
+    got = lm.score(spark.createDataFrame(texts, "doc_id long, text string"), block_bytes=200).collect()
+    same = lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, round(r.score, 9)) for r in got} == {(r.doc_id, round(r.score, 9)) for r in same}
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[dict(texts)[r.doc_id]].add(round(r.score, 9))
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_lm_weights_follow_the_counts():
+    key = np.array([(3 << 32) | (4096 + 40 << 16) | 4096 + 4, (4 << 32) | (0 << 16) | 4096 + 20])
+    w = lm.learn(key, np.array([1000, 1000]))
+    assert w[3][0] > 0.9 and w[4][0] < 0.01 and w[4][1] > 0.9 and np.allclose(w.sum(axis=1), 1)
+
+
+# 2, 3, 7
+
+
+def test_encoder_is_the_library(rows, tokenizer):
+    import random
+
+    r = random.Random(3)
+    alphabet = [*"ab'sTd. ,!?12\n\t\r  é×÷ñß漢’“ 　 …<|>", "<|endoftext|>", "'ll", " the", "\n\n", "  ", "\x00"]
+    texts = [t for _, t, *_ in rows] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    t = library(tokenizer)
+    for e in (_tokens.Encoder(tokenizer), _tokens.Encoder(tokenizer, most=500, part_bytes=1000)):
+        ids, off = e.encode(pa.array(texts))
+        assert [ids[a:z].tolist() for a, z in zip(off[:-1], off[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_file(spark, docs, no_docs, rows, tokenizer, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    token_file.write(docs, path, tokenizer, 2)
+    t = library(tokenizer)
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x, *_ in rows}
+    stored = token_file.read(spark, path)
+    assert {(r.doc_id, tuple(r.ids)) for r in stored.collect()} == {(i, tuple(x)) for i, x in ids.items()}
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_file.digest(spark, path).collect())
+    at = 0
+    for start, doc, n, c in got:
+        assert (start, n, c) == (at, len(ids[doc]), crc(ids[doc]))
+        at += n
+    assert [g[1] for g in got] == sorted(i for i, *_ in rows)
+    assert sorted(r.start for r in token_file.starts(stored).collect()) == [g[0] for g in got]
+    token_file.write(no_docs, f"{path}0", tokenizer, 2)
+    assert token_file.digest(spark, f"{path}0").count() == 0
+
+
+def test_token_file_layout(docs, tokenizer, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    token_file.write(docs, f"file://{tmp_path}/ids", tokenizer, 2)
+    for f in glob.glob(f"{tmp_path}/ids/*.parquet"):
+        g = pq.ParquetFile(f).metadata.row_group(0)
+        columns = {g.column(k).path_in_schema: g.column(k) for k in range(g.num_columns)}
+        ids = next(c for p, c in columns.items() if p.startswith("ids"))
+        assert ids.has_dictionary_page and ids.has_offset_index and any("DICT" in e for e in ids.encodings)
+        assert any("DELTA" in e for e in columns["doc_id"].encodings)
+
+
+@pytest.mark.parametrize("sizes", [(32768, 256, 65536), (200, 8, 300), (1000, 4, 1000)])
+def test_token_counts(docs, no_docs, rows, tokenizer, sizes):
+    t = library(tokenizer)
+    want = sorted((i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 100) for i, x, *_ in rows)
+    chunk, overlap, huge = sizes
+    got = token_count.count_tokens(docs, tokenizer, limit=100, chunk_chars=chunk, overlap_chars=overlap, huge_chars=huge)
+    assert sorted(map(tuple, got.collect())) == want
+    if chunk == 200:
+        assert token_count.count_tokens(no_docs, tokenizer).count() == 0
+
+
+def test_token_counts_by_pieces(docs, rows):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    if not token_count.inner_space_free(path):
+        pytest.skip("no stable boundary can be proven for this model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    few = docs.where("doc_id IN (27, 30, 60, 90, 120)")
+    want = sorted((i, len(sp.encode(x or ""))) for i, x, *_ in rows if i in (27, 30, 60, 90, 120))
+    got = token_count.count_tokens(few, path, chunk_chars=300, overlap_chars=40, huge_chars=400)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == want
+
+
+def test_packing(docs, no_docs, rows, tokenizer):
+    t = library(tokenizer)
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x, *_ in rows}
+    got = packing.pack(docs, tokenizer, 1, capacity=256).collect()
+    for r in got:
+        assert 0 < r.length <= 256 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length])
+    times = Counter(i for i, *_ in rows)
+    starts = Counter((r.doc_id, r.start, r.length) for r in got)
+    assert all(n == times[d] for (d, _, _), n in starts.items())
+    for d, x in ids.items():
+        pieces = sorted((s, n) for (i, s, n) in starts if i == d)
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(pieces)) and sum(pieces[-1]) == len(x)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at <= 256
+    assert packing.pack(no_docs, tokenizer, 1).count() == 0
+
+
+def test_minimum_slack_is_the_minimum():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        lengths = r.integers(1, 12, r.integers(1, 9)).tolist()
+        room = int(r.integers(0, 30))
+        best = max(s for k in range(len(lengths) + 1) for c in itertools.combinations(lengths, k) if (s := sum(c)) <= room)
+        chosen = packing.best_multiset(dict(Counter(lengths)), room)
+        assert sum(n * k for n, k in chosen) == best and all(k <= Counter(lengths)[n] for n, k in chosen)
+    sequence, offset, n = packing.place(r.integers(1, 2047, 5000), 2048)
+    assert len(set(zip(sequence.tolist(), offset.tolist()))) == 5000 and sequence.max() == n - 1
+
+
+# 4
+
+
+def classes_by_pairs(rows, n, percent):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall(lowered(t))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= percent * len(sets[a] | sets[b]) and label[a] != label[b]:
+            lo, hi = sorted((label[a], label[b]))
+            label = {k: lo if v == hi else v for k, v in label.items()}
+    return {(i, len(sets[i]), label[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("n", "percent", "part_items"), [(4, 85, 1 << 20), (5, 80, 1 << 20), (2, 50, 300)])
+def test_jaccard(docs, rows, n, percent, part_items):
+    got = jaccard.classes(docs, n, percent, block_bytes=4000, part_items=part_items).collect()
+    assert len(got) == len(rows)
+    assert {tuple(r) for r in got} == classes_by_pairs(rows, n, percent)
+
+
+def test_jaccard_of_nothing_and_deduplicate(docs, no_docs, rows):
+    assert jaccard.classes(no_docs).count() == 0 and jaccard.deduplicate(no_docs).count() == 0
+    kept = jaccard.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in classes_by_pairs(rows, 5, 80)})
+
+
+def test_verified_cross_parts():
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 10_000, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[: len(base) - k], r.integers(20_000, 90_000, k).astype(np.uint64)])) for k in range(30)]
+    link = {(i, j) for i in range(30) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    side = np.arange(30) % 2
+
+    def groups(edges):
+        label = list(range(30))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(k for k in range(30) if label[k] == x) for x in label}
+
+    assert groups(zip(*jaccard.verified(sets, 85))) == groups(link)
+    assert groups(zip(*jaccard.verified(sets, 85, side))) == groups([(a, b) for a, b in link if side[a] != side[b]])
+
+
+# 5
+
+
+@pytest.mark.parametrize("block_bytes", [2000, 1 << 23])
+def test_substring(docs, no_docs, rows, block_bytes):
+    window = 20
+    first = {}
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            first[g] = min(first.get(g, i), i)
+    want = set()
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        gone = {j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for j in range(k, k + window)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        want.add((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = substring.remove_repeats(docs, window, anchor=7, block_bytes=block_bytes).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    assert sum(r.n_removed for r in got) > 0
+    if block_bytes == 2000:
+        assert substring.remove_repeats(no_docs).count() == 0
+
+
+def test_every_window_has_an_anchor():
+    g = _text.mix(np.random.default_rng(7).integers(0, 50, 300).astype(np.uint64))
+    at = set(substring.anchors(g, np.ones(300 - 9, bool), 10).tolist())
+    assert all(at & set(range(k, k + 10)) for k in range(291))
+    for k in range(291):
+        assert any(g[j] == g[k : k + 10].min() for j in at & set(range(k, k + 10)))
+
+
+# 6
+
+
+def test_quality(docs, no_docs, rows):
+    got = {r.doc_id: r for r in quality.line_first(docs).collect()}
+    for i, t, *_ in rows:
+        t, r = t or "", got[i]
+        w = WORD.findall(t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = {j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
+        lines, seen = 0, set()
+        for line in t.split("\n"):
+            if WORD.search(line):
+                lines += line in seen
+                seen.add(line)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), lines, len(repeated)), t
+        assert r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
+        assert not (r.base_failed and r.kept)
+    cleaned = quality.clean(docs)
+    assert cleaned.schema == docs.schema and 0 < cleaned.count() == sum(got[i].kept for i, *_ in rows)
+    assert quality.clean(no_docs).count() == 0 and quality.line_first(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(("line", "bad"), [("A plain sentence ends here.", False), ('He said "so it is."', False), ("no end", True), ("Home | News | About | Contact.", True), ("ALL OF IT SHOUTED!!", True), ("We *** like ### it $$$.", True), ("All rights reserved.", True), ("¿Qué es esto?", False)])
+def test_line_rules(line, bad):
+    assert quality.bad_line(line, quality.Rules()) is bad
+
+
+# 8
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(8)
+    data = [(i, [float(x) for x in r.normal(0, 0.3, 8)]) for i in range(400)]
+    data += [(400 + k, data[k][1]) for k in range(5)] + [(1000, None), (1001, [0.1, None] * 4), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1050, []), (1100, [0.5] * 3), (1101, [0.25] * 3)]
+    data += [data[3]]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in data if v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, v in {i: v for i, v in usable if i % 50 == 0}.items():
+        scored = sorted(((-sum(a * b for a, b in zip(v, u)), i) for i, u in usable if i != q and len(u) == len(v)))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    got = topk.top_k(df, block_rows=100, query_rows=4, few=16)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert topk.top_k(df.where("false")).count() == 0
+
+
+def test_top_k_stops_only_on_proof():
+    r = np.random.default_rng(9)
+    v = (r.normal(0, 80, (3000, 16)) * np.exp(r.normal(0, 1, 16))).astype(np.int64)
+    block, stopped = topk.Index(v), 0
+    for q in v[:40]:
+        alive = block.candidates(q, 5, 64)
+        stopped += len(alive) < 1000
+        scores = v @ q
+        assert set(np.argsort(-scores, kind="stable")[:5].tolist()) <= set(alive.tolist())
+    assert stopped > 30
+
+
+# 9
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
+    t = mixing.targets([1000, 10, 10], [1, 2, 3])
+    assert t == pytest.approx([960, 30, 30])
+    assert mixing.targets([0, 5], [1, 2]) == [0, 5] and mixing.targets([], []) == []
+
+
+@pytest.mark.parametrize("block_words", [16, 512])
+def test_mixing(docs, no_docs, rows, block_words):
+    mix = mixing.Mix(docs, block_words=block_words, shard_slots=8)
+    got = mix.taken().collect()
+    assert len(got) == len(rows)
+    sizes = defaultdict(int)
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [1 + k % 3 for k in range(len(order))])))
+    source, taken = {i: s for i, _, _, s, *_ in rows}, defaultdict(int)
+    for r in got:
+        s = source[r.doc_id]
+        assert (r.source_size, r.target) == (sizes[s], pytest.approx(want[s])) and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in order)
+    again = mixing.Mix(docs.repartition(5), block_words=block_words, shard_slots=8).taken().collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    slots = mix.slots().collect()
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) == sum(mix.totals)
+    if block_words == 16:
+        assert mixing.Mix(no_docs).taken().count() == 0
+
+
+def test_shards_split_the_totals():
+    totals = np.array([5, 0, 31, 12])
+    before = np.zeros(4, np.int64)
+    for k in range(6):
+        b, here = mixing.shard_counts(totals, 6, 8, k, 1)
+        assert (b == before).all() and here.sum() == 8
+        before = before + here
+    assert (before == totals).all()
+
+
+def test_permutations():
+    for n in (1, 2, 3, 17, 1000):
+        p = mixing.permuted(np.arange(n), n, 12345)
+        assert sorted(p.tolist()) == list(range(n)) and (mixing.permuted(p, n, 12345, inverse=True) == np.arange(n)).all()
+    assert (mixing.permuted(np.arange(1000), 1000, 1) != mixing.permuted(np.arange(1000), 1000, 2)).any()
+
+
+# 10
+
+
+def test_secret_forest_on_held_out_findings():
+    found = secrets.labelled_findings(1500, seed=77)
+    p = secrets.default_forest().predict(np.array([secrets.features(*f[:3]) for f in found]))
+    y = np.array([f[3] for f in found])
+    assert ((p >= 0.5) == y).mean() > 0.97
+
+
+def test_secret_scan(docs, no_docs, rows):
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    text = {i: t or "" for i, t, *_ in rows}
+    planted = next(i for i, t in text.items() if "password=" in t)
+    spans = [tuple(map(int, s.split("-"))) for s in got[planted].spans]
+    assert [text[planted][a:z] for a, z in spans] == ["3f9a0c1d2e4b5a6978", "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc"]
+    assert sum(r.n_secrets for r in got.values()) == 2
+    clean = secrets.redact(docs)
+    assert clean.schema == docs.schema and clean.count() == len(rows)
+    for r in clean.collect():
+        final = r.text or ""
+        assert hashlib.sha256(final.encode()).hexdigest() == got[r.doc_id].redacted_sha256
+        assert final == text[r.doc_id] or r.doc_id == planted and final.count(secrets.MASK) == 2
+    assert secrets.scan(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+
+
+def test_forest_from_labels(spark):
+    df = spark.createDataFrame([*secrets.labelled_findings(400), (None, "", "", 1), ("abc1", None, None, None)], "candidate string, before string, after string, label int")
+    f = secrets.forest_from(df, most_labels=300)
+    assert 0 <= f.predict(np.zeros((1, 22)))[0] <= 1
+    with pytest.raises(ValueError, match="no labelled"):
+        secrets.forest_from(df.where("false"))
