@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 from pyspark.sql.types import _parse_datatype_string as parse_type
 
 from cubespan.errors import CubeError
-from cubespan.functions import kernels
+from cubespan.functions import batches, kernels
 
 LINEAR = "struct<slope:double,intercept:double,r_squared:double,std_err:double,p_value:double,n:bigint>"
 THEIL_SEN = "struct<slope:double,intercept:double,n:bigint>"
@@ -43,8 +44,6 @@ def series(times: pa.Array, values: pa.Array) -> Iterator[tuple[np.ndarray, np.n
 def over_series(kernel: Callable, returns: str | DataType) -> Callable:
     """An Arrow function of two list columns from a function of two arrays that gives a dict, or None."""
     kind = parse_type(returns) if isinstance(returns, str) else returns
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow = to_arrow_type(kind)
 
     @F.arrow_udf(returnType=kind)
@@ -64,31 +63,41 @@ def _none(x: float) -> float | None:
     return x if np.isfinite(x) else None
 
 
-def trend_map_kernel(t: np.ndarray, v: np.ndarray, method: str, alpha: float = 0.05) -> dict:
-    """Slope and p-value; each is missing by itself. theil_sen takes the p-value of Mann-Kendall."""
-    slope = p = None
-    try:
-        if method == "ols":
-            fit = kernels.linear_trend(t, v)
-            return {"slope": fit.slope, "p_value": fit.p_value}
-        slope = kernels.theil_sen(t, v).slope
-    except CubeError:
-        if method == "ols":
-            return {"slope": None, "p_value": None}
-    try:
-        p = kernels.mann_kendall(v, alpha).p_value
-    except CubeError:
-        pass
-    return {"slope": slope, "p_value": p}
+def grouped(times: pa.Array, values: pa.Array, both: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of two list columns by the number of their finite observations: (rows, T, V). Null rows and rows with different numbers of times and values are left out. both: times have to be finite, too."""
+    found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for k, pair in enumerate(series(times, values)):
+        if pair is not None and len(pair[0]) == len(pair[1]):
+            t, v = pair
+            good = np.isfinite(v) & np.isfinite(t) if both else np.isfinite(v)
+            if not good.all():
+                t, v = t[good], v[good]
+            found.setdefault(len(v), []).append((k, t, v))
+    for n, own in found.items():
+        yield np.array([k for k, _, _ in own]), np.array([t for _, t, _ in own]).reshape(len(own), n), np.array([v for _, _, v in own]).reshape(len(own), n)
+
+
+def _arrow_type(returns: str) -> pa.DataType:
+    return to_arrow_type(parse_type(returns))
 
 
-def break_map_kernel(t: np.ndarray, v: np.ndarray, alpha: float, n_harmonics: int, period: float = 1.0) -> dict:
-    """How many breaks, and the time of the first; both are missing if the series can't be tested."""
-    try:
-        found = kernels.detect_breaks(t, v, alpha, n_harmonics, period, max(12, 2 * n_harmonics + 4)).breaks
-    except CubeError:
-        return {"count": None, "first_break": None}
-    return {"count": float(len(found)), "first_break": found[0].time if found else None}
+def over_batches(estimate: Callable, returns: str, names: tuple[str, ...], both: bool = True) -> Callable:
+    """An Arrow function of two list columns from an estimator of batches.py whose result has the fields names of the struct."""
+    arrow = _arrow_type(returns)
+
+    @F.arrow_udf(returnType=parse_type(returns))
+    def run(times: pa.Array, values: pa.Array) -> pa.Array:
+        size, whole = len(times), np.zeros(len(times), bool)
+        columns = {f: np.zeros(size, object if f == "trend" else np.int64 if f == "n" else np.float64) for f in names}
+        for rows, t, v in grouped(times, values, both):
+            got = estimate(t, v)
+            whole[rows] = got["ok"]
+            for f in names:
+                columns[f][rows] = got[f]
+        parts = [pa.array(columns[f], arrow.field(f).type, mask=~whole) for f in names]
+        return pa.StructArray.from_arrays(parts, fields=list(arrow), mask=pa.array(~whole))
+
+    return run
 
 
 def linear_trend():
@@ -96,21 +105,94 @@ def linear_trend():
 
 
 def theil_sen():
-    return over_series(lambda t, v: asdict(kernels.theil_sen(t, v)), THEIL_SEN)
+    return over_batches(batches.theil_sen, THEIL_SEN, ("slope", "intercept", "n"))
 
 
 def mann_kendall(alpha: float = 0.05):
-    return over_series(lambda t, v: asdict(kernels.mann_kendall(v, alpha)), MANN_KENDALL)
+    return over_batches(lambda t, v: batches.mann_kendall(v, alpha), MANN_KENDALL, ("trend", "s", "var_s", "z", "tau", "p_value", "n"), both=False)
+
+
+def trend_map(alpha: float = 0.05):
+    """Slope by Theil-Sen and p-value by Mann-Kendall; each is null by itself."""
+    arrow = _arrow_type(TREND_MAP)
+
+    @F.arrow_udf(returnType=parse_type(TREND_MAP))
+    def run(times: pa.Array, values: pa.Array) -> pa.Array:
+        slope, p = np.full(len(times), np.nan), np.full(len(times), np.nan)
+        for rows, t, v in grouped(times, values):
+            got = batches.theil_sen(t, v)
+            slope[rows] = np.where(got["ok"], got["slope"], np.nan)
+        for rows, _, v in grouped(times, values, both=False):
+            got = batches.mann_kendall(v, alpha)
+            p[rows] = np.where(got["ok"], got["p_value"], np.nan)
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64(), from_pandas=True) for c in (slope, p)], fields=list(arrow))
+
+    return run
+
+
+def ols_map():
+    def estimate(t: np.ndarray, v: np.ndarray) -> dict:
+        try:
+            fit = kernels.linear_trend(t, v)
+        except CubeError:
+            return {"slope": None, "p_value": None}
+        return {"slope": fit.slope, "p_value": fit.p_value}
+
+    return over_series(estimate, TREND_MAP)
 
 
 def harmonic_regression(period: float, n_harmonics: int = 2):
     kernels.check_harmonic(period, n_harmonics)
-    return over_series(lambda t, v: asdict(kernels.harmonic_regression(t, v, period, n_harmonics)), HARMONIC)
+    arrow = _arrow_type(HARMONIC)
+    part = arrow.field("components").type.value_type
+
+    @F.arrow_udf(returnType=parse_type(HARMONIC))
+    def run(times: pa.Array, values: pa.Array) -> pa.Array:
+        size = len(times)
+        whole = np.zeros(size, bool)
+        plain = {f: np.zeros(size) for f in ("intercept", "slope", "r_squared", "rmse", "n")}
+        wide = {f: np.zeros((size, n_harmonics)) for f in ("cos", "sin")}
+        for rows, t, v in grouped(times, values):
+            got = batches.harmonic_regression(t, v, period, n_harmonics)
+            whole[rows] = got["ok"]
+            for c in (plain, wide):
+                for f in c:
+                    c[f][rows] = got[f]
+        a, b = wide["cos"].ravel(), wide["sin"].ravel()
+        number = np.tile(np.arange(1, n_harmonics + 1, dtype=np.int32), size)
+        parts = pa.StructArray.from_arrays([pa.array(x) for x in (number, a, b, np.hypot(a, b), np.arctan2(b, a))], fields=list(part))
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * n_harmonics), parts).cast(arrow.field("components").type)
+        columns = [pa.array(plain["intercept"]), pa.array(plain["slope"]), listed, pa.array(np.full(size, float(period))), pa.array(plain["r_squared"]), pa.array(plain["rmse"]), pa.array(plain["n"].astype(np.int64))]
+        return pa.StructArray.from_arrays(columns, fields=list(arrow), mask=pa.array(~whole))
+
+    return run
+
+
+def _over_breaks(kernel: Callable, returns: str, missing: dict | None, **options) -> Callable:
+    arrow = _arrow_type(returns)
+
+    @F.arrow_udf(returnType=parse_type(returns))
+    def run(times: pa.Array, values: pa.Array) -> pa.Array:
+        out: list[dict | None] = [missing] * len(times)
+        for rows, t, v in grouped(times, values):
+            for k, found in zip(rows.tolist(), batches.detect_breaks(t, v, **options), strict=True):
+                out[k] = missing if found is None else kernel(found)
+        return pa.array(out, arrow)
+
+    return run
 
 
 def detect_breaks(alpha: float = 0.05, n_harmonics: int = 0, period: float = 1.0, min_segment: int = 12):
     kernels.check_breaks(alpha, n_harmonics, period, min_segment)
-    return over_series(lambda t, v: asdict(kernels.detect_breaks(t, v, alpha, n_harmonics, period, min_segment)), BREAKS)
+    return _over_breaks(asdict, BREAKS, None, alpha=alpha, n_harmonics=n_harmonics, period=period, min_segment=min_segment)
+
+
+def break_map(alpha: float = 0.05, n_harmonics: int = 0, period: float = 1.0):
+    """How many breaks, and the time of the first; both are null if the series can't be tested."""
+    least = max(12, 2 * n_harmonics + 4)
+    kernels.check_breaks(alpha, n_harmonics, period, least)
+    first = lambda b: {"count": float(len(b.breaks)), "first_break": b.breaks[0].time if b.breaks else None}
+    return _over_breaks(first, BREAK_MAP, {"count": None, "first_break": None}, alpha=alpha, n_harmonics=n_harmonics, period=period, min_segment=least)
 
 
 def gapfill(max_gap: float | None = None):
@@ -126,8 +208,8 @@ def register(spark: SparkSession) -> list[str]:
         "harmonic_regression": harmonic_regression(1.0, 2),
         "detect_breaks": detect_breaks(),
         "gapfill_linear": gapfill(),
-        "trend_map_theil_sen": over_series(lambda t, v: trend_map_kernel(t, v, "theil_sen"), TREND_MAP),
-        "trend_map_ols": over_series(lambda t, v: trend_map_kernel(t, v, "ols"), TREND_MAP),
+        "trend_map_theil_sen": trend_map(),
+        "trend_map_ols": ols_map(),
     }
     for name, f in found.items():
         spark.udf.register(name, f)

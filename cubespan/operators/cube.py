@@ -171,11 +171,11 @@ class TCube:
             return self.linear_trend(band, origin).select(*self.keys, "slope", "p_value")
         if method != "theil_sen":
             raise ValueError(f"unknown method {method!r}")
-        return self._estimate(band, registry.over_series(lambda t, v: registry.trend_map_kernel(t, v, "theil_sen"), registry.TREND_MAP))
+        return self._estimate(band, registry.trend_map())
 
     def break_map(self, band: int | str = 0, n_harmonics: int = 0, alpha: float = 0.05, period: float = 1.0) -> DataFrame:
         """keys, count, first_break."""
-        return self._estimate(band, registry.over_series(lambda t, v: registry.break_map_kernel(t, v, alpha, n_harmonics, period), registry.BREAK_MAP))
+        return self._estimate(band, registry.break_map(alpha, n_harmonics, period))
 
     # Tiles
 

@@ -18,8 +18,7 @@ def first_breaks(cube: TCube, band: int | str = 0, least: int = 20, n_harmonics:
     packed = cube.pack(band).where(F.size("vs") >= least)
     from cubespan.functions import registry
 
-    f = registry.over_series(lambda t, v: registry.break_map_kernel(t, v, alpha, n_harmonics), registry.BREAK_MAP)
-    return packed.select(*cube.keys, f("ts", "vs").alias("m")).select(*cube.keys, "m.first_break").where("first_break IS NOT NULL")
+    return packed.select(*cube.keys, registry.break_map(alpha, n_harmonics)("ts", "vs").alias("m")).select(*cube.keys, "m.first_break").where("first_break IS NOT NULL")
 
 
 def drop_magnitude(cube: TCube, breaks: DataFrame, width: float, band: int | str = 0) -> DataFrame:
