@@ -16,8 +16,8 @@ the intersection is percent hundredths of the size of the union or more.
    is a task. A link is never lost, as linked documents always lie in one component.
 5. The verified links' connected components are the classes.
 
-Null text is empty. A null id is class and member of its own kind: it compares as the largest id and is
-reported as null. Repeated rows are reported as often as they occur.
+Null text is empty. A null id compares as the largest id and is reported as null. Repeated rows are one
+document, reported as often as they occur; rows with one id and different texts are different documents.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespan.llm import _shared, _text
@@ -37,7 +37,7 @@ from cubespan.llm._shared import pack, pack_sorted, table, unpack, unpack_sorted
 U64 = np.uint64
 ASK_SCHEMA = "bucket int, blk int, asked binary"
 TOLD_SCHEMA = "blk int, bucket int, told binary"
-SETS_SCHEMA = "doc_id long, size long, gid long, prefix binary, members binary"
+SETS_SCHEMA = "node long, size long, gid long, prefix binary, members binary"
 #: Shingles that a verifying task holds of one part.
 PART_ITEMS = 1 << 20
 
@@ -97,27 +97,43 @@ def verified(sets: list[np.ndarray], percent: int, side: np.ndarray | None = Non
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+#: What a null id counts as.
+NULL_ID = (1 << 63) - 1
+
+
+def _node(doc_id: str, text: str) -> Column:
+    """What tells documents apart: a hash of id and text."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), F.col(text).cast("string"))
+
+
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block_bytes: int = _shared.BLOCK_BYTES, part_items: int = PART_ITEMS) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id that is reachable by links."""
+    shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return _members(docs, n, percent, doc_id, text, block_bytes, part_items).select(shown("doc_id"), "n_shingles", shown("component_id"))
+
+
+def _members(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, block_bytes: int = _shared.BLOCK_BYTES, part_items: int = PART_ITEMS) -> DataFrame:
+    """(doc_id, node, n_shingles, component_id, chosen): a row for each row of docs; chosen is the node that stands for its class."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie between 1 and 100")
     buckets = _shared.block_count(docs, text, block_bytes)
-    null_id = (1 << 63) - 1
-    rows = _shared.with_block(docs, doc_id, text, buckets).withColumn("doc_id", F.coalesce("doc_id", F.lit(null_id)))
+    whole = _shared.with_block(docs, doc_id, text, buckets).withColumn("node", _node("doc_id", "text"))
+    rows = whole.select("blk", "node", "text")
     # One text stands for all that equal it: the one of the smallest id.
-    keyed = table(rows.select("blk", "doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h")), "jaccard-ids")
-    first = keyed.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    known = table(keyed.join(first, "h").select("blk", "doc_id", "rep"), "jaccard-copies")
-    copies = known.where("doc_id <> rep").groupBy("blk", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("s")).agg(F.collect_set("doc_id").alias("ids"))
+    keyed = whole.select("blk", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "node", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
+    keyed = table(keyed, "jaccard-ids")
+    first = keyed.groupBy("h").agg(F.min(F.struct("doc_id", "node")).alias("m"))
+    known = table(keyed.join(first, "h").select("blk", "doc_id", "node", F.col("m.node").alias("rep"), F.col("m.doc_id").alias("rep_id")), "jaccard-copies")
+    copies = known.where("node <> rep").groupBy("blk", F.pmod("node", F.lit(64)).alias("s")).agg(F.collect_set("node").alias("ids"))
     copies = copies.select("blk", F.lit(-1).alias("bucket"), "ids", F.lit(None).cast("binary").alias("told"))
 
     def own_sets(part: pa.Table, more: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-        """Ids and sets of a block's documents, each id once, without copies of a smaller one."""
+        """Nodes and sets of a block's documents, each once, without copies of another."""
         gone = {i for ids in more["ids"].to_pylist() for i in ids or ()}
-        ids, at = np.unique(part["doc_id"].to_numpy(), return_index=True)
-        keep = [k for k, i in zip(at.tolist(), ids.tolist(), strict=True) if i not in gone]
+        nodes, at = np.unique(part["node"].to_numpy(), return_index=True)
+        keep = [k for k, i in zip(at.tolist(), nodes.tolist(), strict=True) if i not in gone]
         own = part.take(pa.array(keep, pa.int64()))
-        return own["doc_id"].to_pylist(), shingle_sets(own["text"], n)
+        return own["node"].to_pylist(), shingle_sets(own["text"], n)
 
     def ask(key: tuple, part: pa.Table, more: pa.Table) -> pa.Table:
         _, sets = own_sets(part, more)
@@ -156,7 +172,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_i
             out.append((i, len(s), gid, pack_sorted(np.sort(s[common])), pack_sorted(s)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "size", "gid", "prefix", "members"])
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["node", "size", "gid", "prefix", "members"])
 
     asked = rows.groupBy("blk").cogroup(copies.groupBy("blk")).applyInArrow(ask, ASK_SCHEMA)
     told = asked.groupBy("bucket").applyInArrow(tell, TOLD_SCHEMA)
@@ -165,14 +181,15 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_i
 
     links = components(_candidate_edges(sets, percent, buckets))
     group = F.coalesce("component", "gid")
-    found = sets.where("gid IS NOT NULL").join(links, F.col("gid") == F.col("node"), "left").select("doc_id", "size", group.alias("cluster"), "members")
-    found = table(found, "jaccard-clusters")
-    edges = _verified_edges(found, percent, part_items)
-    joined = components(edges)
-    out = known.join(sets.select(F.col("doc_id").alias("rep"), F.col("size").alias("n_shingles")), "rep").join(joined, F.col("rep") == F.col("node"), "left")
-    smallest = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    shown = lambda c: F.when(c != null_id, c)
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(smallest).alias("component_id"))
+    found = sets.where("gid IS NOT NULL").join(links.withColumnRenamed("node", "linked"), F.col("gid") == F.col("linked"), "left").select("node", "size", group.alias("cluster"), "members")
+    edges = _verified_edges(table(found, "jaccard-clusters"), percent, part_items)
+    joined = table(components(edges), "jaccard-classes").select(F.col("node").alias("rep"), "component")
+    smallest = known.select("rep", "rep_id").distinct().join(joined, "rep").groupBy("component").agg(F.min(F.struct("rep_id", "rep")).alias("m"))
+    out = known.join(sets.select(F.col("node").alias("rep"), F.col("size").alias("n_shingles")), "rep").join(joined, "rep", "left").join(smallest, "component", "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("m.rep_id", "rep_id"))
+    chosen = F.when(alone, F.col("node")).otherwise(F.coalesce("m.rep", "rep"))
+    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), chosen.alias("chosen"))
 
 
 def _candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -207,14 +224,14 @@ def _candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFrame:
-    """(a, b): links between documents that connect whatever is connected. found: (doc_id, size, cluster, members)."""
+    """(a, b): links between documents that connect whatever is connected. found: (node, size, cluster, members)."""
     total = found.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, math.ceil(total / part_items)) * 4
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items")).where("n > 1")
     parts = sizes.select("cluster", F.ceil(F.col("items") / part_items).cast("int").alias("parts"))
-    own = found.join(parts, "cluster").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    own = found.join(parts, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = own.withColumn("other", other).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "members")
+    met = own.withColumn("other", other).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "members")
     met = met.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)).cast("int"))
 
     def verify(key: tuple, part: pa.Table) -> pa.Table:
@@ -222,7 +239,7 @@ def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFram
         part = part.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending")])
         keys = np.stack([part[c].to_numpy().astype(np.int64) for c in ("cluster", "i", "j")])
         cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        ids, mine, raw = part["doc_id"].to_numpy(), part["mine"].to_numpy(), part["members"]
+        ids, mine, raw = part["node"].to_numpy(), part["mine"].to_numpy(), part["members"]
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), part.num_rows], strict=True):
             if hi - lo > 1:
                 sets = [unpack_sorted(x)[0] for x in raw.slice(lo, hi - lo).to_pylist()]
@@ -236,10 +253,8 @@ def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFram
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that another document of their class comes before: of each class the smallest id stays, once."""
-    kept = classes(docs, n, percent, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if docs.select(doc_id).isEmpty():
-        return left
-    one = Window.partitionBy(doc_id).orderBy(F.xxhash64(text), text)
-    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    """docs with one document of each class, that of the smallest id, once."""
+    kept = _members(docs, n, percent, doc_id, text).select(F.col("chosen").alias("__node")).distinct()
+    left = docs.withColumn("__node", _node(doc_id, text)).join(kept, "__node", "left_semi")
+    one = Window.partitionBy("__node").orderBy(F.xxhash64(*docs.columns))
+    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)

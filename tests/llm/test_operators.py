@@ -251,6 +251,16 @@ def test_jaccard_of_nothing_and_deduplicate(docs, no_docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in classes_by_pairs(rows, 5, 80)})
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    w = "a b c d e f g h i j k l m n o p q r s t u v".split()
+    rows = [(None, " ".join(w)), (None, " ".join(w[:-1])), (None, "x y z"), (None, None), (5, "p q r s"), (5, "p q r t"), (5, "p q r s"), (7, " ".join(w) + " w"), (8, "x Y z"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.classes(df).collect()))
+    assert got == Counter([(None, 19, 7), (None, 18, 7), (7, 20, 7), (None, 1, 8), (8, 1, 8), (None, 0, None), (9, 0, 9), (5, 1, 5), (5, 1, 5), (5, 1, 5)])
+    kept = Counter(map(tuple, jaccard.deduplicate(df, 4, 85).collect()))
+    assert kept == Counter([rows[7], rows[8], rows[3], rows[9], rows[4], rows[5]])
+
+
 def test_verified_cross_parts():
     r = np.random.default_rng(6)
     base = np.unique(r.integers(0, 10_000, 200).astype(np.uint64))
