@@ -1,8 +1,9 @@
 """Line-first cleaning (operator 6): rules on each line come first, then a document is judged by what they left.
 
-A line is dropped when it has words and one of these holds: it doesn't end as a sentence does, it is made of
-navigation cells, most of its letters are capitals, it is full of symbols, it is a stock phrase of web pages,
-or it repeats an earlier line of its document. A document is rejected when it fails the base rule, when
+A line is dropped when it has words and one of these holds: the last sentence in it ends before its middle or
+not at all, it is made of navigation cells, most of its letters are capitals, it is full of symbols, it is a
+stock phrase of web pages, most of its words repeat the word before, or it repeats an earlier line of its
+document. A document is rejected when it fails the base rule, when
 nothing is left, or when the dropped lines held more than max_lost of its characters.
 
 Null and empty texts have no words; they fail the base rule and are rejected. Repeated rows are judged each
@@ -11,6 +12,7 @@ for itself. Columns of the input other than the id and the text pass through cle
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,12 +48,14 @@ class Rules:
     max_capitals: float = 0.7
     max_symbols: float = 0.1
     stock_words: int = 12
+    stutter_words: int = 10
+    max_stutter: float = 0.5
 
 
 def bad_line(line: str, rules: Rules) -> bool:
     """Whether a line with words fails one of the rules that need no other line."""
     body = line.strip()
-    if not body.rstrip(_CLOSERS).endswith(_SENTENCE_END):
+    if not body.rstrip(_CLOSERS).endswith(_SENTENCE_END) and 2 * (max(map(body.rfind, _SENTENCE_END)) + 1) < len(body):
         return True
     if "|" in body or " > " in body or "»" in body or "•" in body or "·" in body:
         if len(_CELL.findall(body)) >= rules.cells:
@@ -60,6 +64,9 @@ def bad_line(line: str, rules: Rules) -> bool:
         return True
     if body.isupper() or len(body) >= 8 and sum(map(str.isupper, body)) > rules.max_capitals * max(1, sum(map(str.isalpha, body))):
         return True
+    spoken = body.split()
+    if len(spoken) >= rules.stutter_words and sum(map(operator.eq, spoken, spoken[1:])) > rules.max_stutter * len(spoken):
+        return True
     low = body.lower()
     return bool(_STOCK.search(low)) and len(low.split()) <= rules.stock_words
 

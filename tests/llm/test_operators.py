@@ -334,7 +334,7 @@ def test_quality(docs, no_docs, rows):
     assert quality.clean(no_docs).count() == 0 and quality.line_first(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("line", "bad"), [("A plain sentence ends here.", False), ('He said "so it is."', False), ("no end", True), ("Home | News | About | Contact.", True), ("ALL OF IT SHOUTED!!", True), ("We *** like ### it $$$.", True), ("All rights reserved.", True), ("¿Qué es esto?", False)])
+@pytest.mark.parametrize(("line", "bad"), [("A plain sentence ends here.", False), ('He said "so it is."', False), ("no end", True), ("Home | News | About | Contact.", True), ("ALL OF IT SHOUTED!!", True), ("We *** like ### it $$$.", True), ("All rights reserved.", True), ("¿Qué es esto?", False), ("One ends. Another ends. The rest is an", False), ("Short. " + "but then it never comes to an end " * 3, True), ("on " * 12 + "on.", True)])
 def test_line_rules(line, bad):
     assert quality.bad_line(line, quality.Rules()) is bad
 
