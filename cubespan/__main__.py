@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("items")
     q.add_argument("pixels")
     q.add_argument("--assets", nargs="+", required=True)
+    q.add_argument("--bbox", type=float, nargs=4, metavar=("WEST", "SOUTH", "EAST", "NORTH"))
     q.add_argument("--max-cloud", type=float)
     q.add_argument("--limit", type=int, default=100)
     q.add_argument("--scale", type=float, default=1.0)
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         from cubespan.sources import stac
 
         spark = SparkSession.builder.appName("cubespan").getOrCreate()
-        cfg = StackConfig(a.assets, max_items=a.limit, max_cloud_cover=a.max_cloud, scale=a.scale, offset=a.offset, cross_zone_mosaic=not a.no_cross_zone)
+        cfg = StackConfig(a.assets, bbox=a.bbox, max_items=a.limit, max_cloud_cover=a.max_cloud, scale=a.scale, offset=a.offset, cross_zone_mosaic=not a.no_cross_zone)
         maps = stack.Maps(a.composite, a.composite_method, a.gapfill, a.band, a.stat, a.breaks, a.break_harmonics, a.break_alpha)
         out, _ = stack.run(stac.read_items(spark, a.items), spark.read.parquet(f"{a.pixels}/grids"), spark.read.parquet(f"{a.pixels}/pixels"), cfg, maps, a.output)
     else:

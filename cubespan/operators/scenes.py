@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespan.errors import ConfigError, EmptyStack
@@ -65,14 +65,48 @@ def judged(items: DataFrame, grids: DataFrame, cfg: StackConfig) -> DataFrame:
     return own.withColumn("reason", reason).withColumn("scene_epsg", F.coalesce("epsg", "grid_epsg"))
 
 
+def clip(items: DataFrame, grids: DataFrame, pixels: DataFrame, bbox: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """grids and pixels of the part that a box in degrees covers, whole pixels.
+
+    The box is brought to an item's coordinate system, else to its grid's; without either, or in degrees, it is
+    taken as it is. Grids in other systems than UTM stay whole; grids that the box doesn't meet go.
+    """
+    w, s, e, n = map(float, bbox)
+    edge = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x in (w, (w + e) / 2, e) for y in (s, (s + n) / 2, n)))
+    crs = F.coalesce("item_epsg", "epsg")
+    own = grids.join(items.select("item_id", F.col("epsg").alias("item_epsg")), "item_id", "left").withColumn("crs", crs)
+    at = own.select("item_id", "asset", "crs", F.when(utm.is_utm(F.col("crs")), F.col("crs")).alias("zone"), F.explode(edge).alias("p")).select("*", "p.lon", "p.lat")
+    at = utm.forward(at, "lon", "lat", "zone", "px", "py")
+    degrees = F.col("crs").isNull() | (F.col("crs") == 4326)
+    at = at.withColumns({"px": F.when(degrees, F.col("lon")).otherwise(F.col("px")), "py": F.when(degrees, F.col("lat")).otherwise(F.col("py"))})
+    box = at.groupBy("item_id", "asset").agg(F.min("px").alias("xa"), F.max("px").alias("xb"), F.min("py").alias("ya"), F.max("py").alias("yb"))
+    met = own.join(box, ["item_id", "asset"])
+
+    def span(a: str, b: str, origin: str, step: str, size: str) -> tuple[Column, Column]:
+        one, two = ((F.col(c) - F.col(origin)) / F.col(step) for c in (a, b))
+        # Places within a millionth of a pixel's edge count as on it.
+        lo, hi = F.floor(F.least(one, two) + 1e-6), F.ceil(F.greatest(one, two) - 1e-6)
+        return F.coalesce(F.greatest(lo, F.lit(0)), F.lit(0)).cast("int"), F.coalesce(F.least(hi, F.col(size)), F.col(size)).cast("int")
+
+    (c0, c1), (r0, r1) = span("xa", "xb", "x0", "dx", "nx"), span("ya", "yb", "y0", "dy", "ny")
+    met = met.withColumns({"c0": c0, "c1": c1, "r0": r0, "r1": r1}).where("c1 > c0 AND r1 > r0")
+    cut = {"x0": F.col("x0") + F.col("c0") * F.col("dx"), "y0": F.col("y0") + F.col("r0") * F.col("dy"), "nx": F.col("c1") - F.col("c0"), "ny": F.col("r1") - F.col("r0")}
+    window = met.select("item_id", "asset", "c0", "c1", "r0", "r1")
+    inside = pixels.join(window, ["item_id", "asset"]).where("row >= r0 AND row < r1 AND col >= c0 AND col < c1")
+    moved = inside.withColumns({"row": (F.col("row") - F.col("r0")).cast("int"), "col": (F.col("col") - F.col("c0")).cast("int")})
+    return met.withColumns(cut).select(*grids.columns), moved.select(*pixels.columns)
+
+
 def stack(items: DataFrame, grids: DataFrame, pixels: DataFrame, cfg: StackConfig) -> StackedCube:
     """The cube of all usable items. The first usable one in time gives the grid, by its first asset, and the coordinate system.
 
     Pixels are taken by nearest neighbour. A scene of another UTM zone is sampled bilinearly at the places
     of the reference pixels; other coordinate systems are skipped. Items and grids are small
-    tables (a row a scene); pixels are joined once, on item, asset, row and column.
+    tables (a row a scene); with a box only its part of every scene is used; pixels are joined once, on item, asset, row and column.
     """
     cfg.validate()
+    if cfg.bbox is not None:
+        grids, pixels = clip(items, grids, pixels, cfg.bbox)
     every = judged(items, grids, cfg).cache()
     assets = [a for a in cfg.assets]
     lead = every.where("reason IS NULL").join(grids.where(F.col("asset") == assets[0]).drop("epsg"), "item_id").orderBy("datetime", "item_id").first()

@@ -149,6 +149,22 @@ def test_stack(spark):
         scenes.stack(*scene(spark), scenes.StackConfig(["x"]))
 
 
+def test_stack_of_a_box(spark):
+    from cubespan.functions import utm
+
+    corners = spark.createDataFrame([(500010.5, 6999989.5, 32719), (500029.5, 6999970.5, 32719)], "x double, y double, zone int")
+    a, b = utm.backward(corners, "x", "y", "zone").orderBy("x").collect()
+    s = scenes.stack(*scene(spark), scenes.StackConfig(["b"], bbox=[a.lon, b.lat, b.lon, a.lat]))
+    assert s.transform == (500010, 10, 6999990, -10) and s.shape == (2, 2)
+    got = {(r.ti, r.y, r.x): r.v for r in s.cube.long.collect()}
+    assert got == {(k, y, x): 10.0 * (y + 1) + x + 1 + k for k in range(2) for y in range(2) for x in range(2)}
+    with pytest.raises(errors.EmptyStack):
+        scenes.stack(*scene(spark), scenes.StackConfig(["b"], bbox=[0, 0, 1, 1]))
+    plain = scene(spark, epsg=(None, None))
+    degrees = scenes.stack(*plain, scenes.StackConfig(["b"], bbox=[500000, 6999960, 500020, 7000000]))
+    assert degrees.shape == (4, 2)
+
+
 def test_stack_across_zones(spark):
     """A scene of the next zone is a linear field of its own coordinates, so bilinear samples are exact."""
     from cubespan.functions import utm
