@@ -219,10 +219,11 @@ class TCube:
 
     def gapfill(self, max_gap: float | None = None) -> TCube:
         """Nulls between two observations whose times differ by max_gap at most are interpolated in time; edges stay. Slices without a row stay so: densify() first."""
-        order = Window.partitionBy(*self.keys, "band").orderBy("t", "ti")
+        own = Window.partitionBy(*self.keys, "band")
         at = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-        before = F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        after = F.first(at, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        # Both frames grow from the start of their order, so each is one pass; a frame that shrinks would be summed anew for every row.
+        before = F.last(at, ignorenulls=True).over(own.orderBy("t", "ti").rowsBetween(Window.unboundedPreceding, 0))
+        after = F.last(at, ignorenulls=True).over(own.orderBy(F.desc("t"), F.desc("ti")).rowsBetween(Window.unboundedPreceding, 0))
         own = self.long.withColumns({"__a": before, "__b": after})
         width = F.col("__b.t") - F.col("__a.t")
         fill = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col("t") - F.col("__a.t")) / width
