@@ -152,7 +152,10 @@ class Mix:
         return number * blocks + n
 
     def slots(self) -> DataFrame:
-        """(shard, slot, source_index, pass, block, words): words is what the slot takes from the front of the block."""
+        """(shard, slot, source_index, pass, block, words): words is what the slot takes from the front of the block.
+
+        The planner can't tell how many slots a shard makes and takes this table for small: joins need a hint so that it isn't broadcast.
+        """
         totals = np.array(self.totals, np.int64)
         shards = max(1, -(-int(totals.sum()) // self.shard_slots))
         blocks, sizes, words, width, slots, seed = self.blocks, self.sizes, self.words, self.block_words, self.shard_slots, self.seed
@@ -201,7 +204,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken): one row for each row of the documents."""
         uses = self.slots().groupBy("source_index", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-        got = self.pieces().join(uses, ["source_index", "block"], "left")
+        got = self.pieces().join(uses.hint("merge"), ["source_index", "block"], "left")
         gain = F.col("times") * F.greatest(F.least("hi", "words") - F.col("lo"), F.lit(0))
         keys = ["source", "chunk", "place", "doc_id", "size", "source_size", "target"]
         out = got.groupBy(*keys).agg(F.coalesce(F.sum(gain), F.lit(0)).cast("long").alias("taken"))
@@ -214,7 +217,7 @@ class Mix:
         words that were taken follow one another, a line each. Documents that the mix doesn't take go.
         """
         uses = self.slots().select("source_index", "pass", "block", "words")
-        got = self.pieces().join(uses, ["source_index", "block"]).where(F.least("hi", "words") > F.col("lo"))
+        got = self.pieces().join(uses.hint("merge"), ["source_index", "block"]).where(F.least("hi", "words") > F.col("lo"))
         start = F.col("block") * self.block_words - F.col("first")
         span = F.struct(F.col("pass"), (start + F.col("lo")).alias("lo"), (start + F.least("hi", "words")).alias("hi"))
         key = ["doc_id", "copy", "source"]
