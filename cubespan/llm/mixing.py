@@ -109,7 +109,7 @@ def word_counts(docs: DataFrame, columns: list, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, size long")
 
 
-def place_documents(sized: DataFrame, chunk_rows: int = 1 << 16) -> DataFrame:
+def place_documents(sized: DataFrame, chunk_rows: int = 1 << 12) -> DataFrame:
     """sized (doc_id, source, copy, size) with first: the words of its source before it; (source, chunk, place) is a key. Long sources are cut into chunks, so no task orders a whole source."""
     n = max(1, math.ceil(sized.count() / chunk_rows))
     own = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)).cast("int"))
