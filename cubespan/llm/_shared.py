@@ -6,8 +6,11 @@ import math
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,32 @@ def with_block(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(row, body), F.lit(n)).cast("int").alias("blk"), row.alias("doc_id"), body.alias("text"))
 
 
+def packed_blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """(blk, docs): with_block() with all rows of a batch that go to one block in one compressed record batch, so that less is shuffled. unpacked() opens them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+        for b in batches:
+            blk = b.column(0).to_numpy()
+            order = np.argsort(blk, kind="stable")
+            used, first = np.unique(blk[order], return_index=True)
+            out = []
+            for rows in np.split(order, first[1:]) if len(used) else []:
+                sink = pa.BufferOutputStream()
+                own = b.select(["doc_id", "text"]).take(pa.array(rows))
+                with pa.ipc.new_stream(sink, own.schema, options=options) as writer:
+                    writer.write_batch(own)
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out, pa.binary())], names=["blk", "docs"])
+
+    return with_block(docs, doc_id, text, n).mapInArrow(run, "blk int, docs binary")
+
+
+def unpacked(column: pa.ChunkedArray) -> pa.Table:
+    """(doc_id, text) of all record batches of packed_blocks()."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in column.to_pylist()])
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Equally long columns of 64-bit integers as byte planes, without the planes that are zero throughout."""
     out = [struct.pack("<IB", len(columns[0]), len(columns))]
@@ -92,9 +121,6 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def as_ids(column) -> np.ndarray:
     """Document ids as 64-bit integers. A null id counts as the largest."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(pc.fill_null(column.cast(pa.int64()), (1 << 63) - 1).to_numpy(zero_copy_only=False), np.int64)

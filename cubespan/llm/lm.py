@@ -109,10 +109,11 @@ def learn(keys: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, every: int = 8, block_bytes: int = _shared.BLOCK_BYTES) -> DataFrame:
     """One row of SCHEMA for each document. Documents whose fold is held aren't learned from; of the others, one in every is held out for the weights."""
     n_blocks = _shared.block_count(docs, text, block_bytes)
-    rows = _shared.with_block(docs, doc_id, text, n_blocks)
+    rows = _shared.packed_blocks(docs, doc_id, text, n_blocks)
     buckets = n_blocks
 
     def block(part: pa.Table) -> tuple[list, _Block]:
+        part = _shared.unpacked(part["docs"])
         ids = part["doc_id"].to_pylist()
         return ids, _Block(ids, part["text"], folds, held, every)
 
