@@ -39,7 +39,7 @@ ASK_SCHEMA = "bucket int, blk int, asked binary"
 TOLD_SCHEMA = "blk int, bucket int, told binary"
 SETS_SCHEMA = "node long, size long, gid long, prefix binary, members binary"
 #: Shingles that a verifying task holds of one part.
-PART_ITEMS = 1 << 20
+PART_ITEMS = 1 << 18
 
 
 def shingle_sets(column, n: int) -> list[np.ndarray]:
@@ -226,7 +226,7 @@ def _candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
 def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFrame:
     """(a, b): links between documents that connect whatever is connected. found: (node, size, cluster, members)."""
     total = found.agg(F.sum("size")).first()[0] or 0
-    tasks = max(1, math.ceil(total / part_items)) * 4
+    tasks = max(4 * math.ceil(total / part_items), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items")).where("n > 1")
     parts = sizes.select("cluster", F.ceil(F.col("items") / part_items).cast("int").alias("parts"))
     own = found.join(parts, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
