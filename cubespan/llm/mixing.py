@@ -129,7 +129,8 @@ class Mix:
         """weights: by position of the source in the order of code points, null last, repeating."""
         self.spark, self.block_words, self.shard_slots, self.seed = docs.sparkSession, block_words, shard_slots, seed
         kept = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("copy")]
-        self.documents = table(place_documents(word_counts(docs, kept, text)), "mix-documents")
+        # Sizes are used three times; texts are read for them once.
+        self.documents = table(place_documents(table(word_counts(docs, kept, text), "mix-sizes")), "mix-documents")
         rows = self.documents.groupBy("source").agg(F.sum("size").alias("size")).collect()
         rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
         self.names, sizes = [r.source for r in rows], [r["size"] for r in rows]
