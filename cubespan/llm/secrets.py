@@ -1,8 +1,10 @@
 """Secret scans with a random forest that removes false positives (operator 10).
 
-Candidates are runs of letters, digits and + / _ - of min_length bytes or more with a digit in them. A random
-forest scores each from its length, its character transitions, how much of it a dictionary covers, whether it
-looks like a path, and the words beside it. The forest is trained here from labelled findings: by default from
+Candidates are runs of letters, digits and . ~ ! @ $ % ^ & * # ? + / _ - of min_length bytes or more, without the
+punctuation at their ends, and the runs of + / _ - letters and digits in them; no digit is needed. What follows a
+key word and = or : is a candidate at any length, up to its closing quote or a space. A random forest scores each
+from its length, its character transitions, how much of it a dictionary or common pairs of letters cover, whether
+it looks like a path, and the words beside it. The mask covers the union of all candidates that score as secrets. The forest is trained here from labelled findings: by default from
 labelled_findings(), made by rule from a seed; a caller can give findings of their own, of which at most
 most_labels (those with the smallest hashes) are used. The model's size has a fixed bound, so it travels with
 the function.
@@ -31,8 +33,8 @@ SCHEMA = "doc_id long, n_candidates long, n_secrets long, spans array<string>, t
 MASK = "[SECRET]"
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
+_WIDE = _RUN.copy()
+_WIDE[[ord(c) for c in ".~!@$%^&*#?"]] = True
 #: Words that stand beside secrets, and words that stand beside harmless strings of the same look.
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "private_key", "client_secret")
 PLAIN_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "etag", "uuid", "guid", "hash", "version", "build", "example", "sample", "placeholder", "phone", "card", "isbn", "order", "invoice", "file", "path", "image", "ref", "revision")
@@ -42,6 +44,13 @@ ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk_live_", "rk_live_",
 DICTIONARY = frozenset(
     "the and for with that this from have not are was all one can has more when your which their about time only some could them other than then now into may such over new part first two get good make file path name user home test data main code page view list item text line word block table index value type class func function module import export return config setting option default example sample placeholder password changeme secret token key insert here section chapter version release build source image photo number order report final draft copy backup public private local server client request response header footer content style script static asset library package project service system model".split()
 )
+#: Pairs of letters that are frequent in words of European languages.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ie ei sc un ge ns el la qu ue us ss em di ai au eu ux tr pr pe ac ad ag am il im ol op os ot ow pl po pa sh so su ta ly ty ut ul um up vi wa we wh wi wo ca do ec ee ef et ev ex fi fo ho id if ig ir ke ki lo mi mo na no bl ab br cr cl ct da ds ft gh ht ld lt nc nk oo pp rd rs rt tt tu ub uc va vo ye lu ru nu ci ga gi go gr fr fa fe bo ba bi bu".split()
+)
+#: A value after = or :, in quotes or up to white space, and the key word that ends before it.
+_VALUE = re.compile(rb"[=:]>?[ \t]*(?:(?:[Bb]earer|[Bb]asic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"'`]?([^\s\"'`<>]+))")
+_KEYED = re.compile(rb"(?i)(?:" + b"|".join(k.encode() for k in KEY_WORDS) + rb")[a-z0-9_-]*[\"'`]?\s*$")
 _AROUND = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
 _FEATURES = 22
 
@@ -119,27 +128,36 @@ def _covered(s: str) -> float:
     return float(done.sum()) / max(1, sum(map(str.isalpha, s)))
 
 
-def features(candidate: str, before: str, after: str) -> list[float]:
-    """Of a candidate and the text just before and after it."""
-    s, n = candidate[:256], len(candidate)
+@functools.lru_cache(1 << 15)
+def _content(s: str) -> tuple[float, ...]:
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in s]
     pairs = list(zip(kinds, kinds[1:], strict=False))
     moves = sum(a != b for a, b in pairs) / max(1, len(pairs))
-    chars = [s.count(c) for c in set(s)]
-    entropy = -sum(c / len(s) * math.log2(c / len(s)) for c in chars)
+    entropy = -sum(c / len(s) * math.log2(c / len(s)) for c in map(s.count, set(s)))
     vowels = sum(c in "aeiouAEIOU" for c in s) / len(s)
-    hexed = all(c in "0123456789abcdef" for c in s.lower())
+    low = s.lower()
+    hexed = all(c in "0123456789abcdef" for c in low)
     longest = max(map(len, re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", s)), default=0)
+    letters = [low[i : i + 2] for i, (a, b) in enumerate(pairs) if a in (1, 2) and b in (1, 2)]
+    return (
+        len(s), kinds.count(0) / len(s), kinds.count(1) / len(s), kinds.count(2) / len(s), kinds.count(3) / len(s),
+        moves, sum(a == 0 and b in (1, 2) or b == 0 and a in (1, 2) for a, b in pairs) / max(1, len(pairs)), sum({a, b} == {1, 2} for a, b in pairs) / max(1, len(pairs)),
+        entropy, vowels, _covered(s), s.count("/"), s.count("-"), float(hexed), float(s.startswith(ISSUED)), longest / len(s), sum(p in PAIRS for p in letters) / max(1, len(letters)),
+    )
+
+
+def features(candidate: str, before: str, after: str) -> list[float]:
+    """Of a whole candidate and the text just before and after it; linear in its length."""
+    content = _content(candidate) if len(candidate) <= 64 else _content.__wrapped__(candidate)
     near = [w.lower() for w in _AROUND.findall(before[-48:])][-4:]
     behind = [w.lower() for w in _AROUND.findall(after[:32])][:2]
     keyed = max((4 - i for i, w in enumerate(reversed(near)) if any(k in w for k in KEY_WORDS)), default=0)
     plain = max((4 - i for i, w in enumerate(reversed(near)) if w in PLAIN_WORDS), default=0)
-    assigned = bool(re.search(r"[=:]\s*[\"']?$", before))
+    sign = re.search(r"([=:]>?)(\s*)([\"']?)$", before)
+    assigned = 0 if not sign else 3 if sign[3] else 1 if sign[1] == ":" and sign[2] else 2
     return [
-        n, kinds.count(0) / len(s), kinds.count(1) / len(s), kinds.count(2) / len(s), kinds.count(3) / len(s),
-        moves, sum(a == 0 and b in (1, 2) or b == 0 and a in (1, 2) for a, b in pairs) / max(1, len(pairs)), sum({a, b} == {1, 2} for a, b in pairs) / max(1, len(pairs)),
-        entropy, vowels, _covered(s), s.count("/"), s.count("-"), float(bool(re.match(r"\.[A-Za-z]{1,5}\b", after)) or before.endswith((".", "/"))),
-        float(hexed), float(candidate.startswith(ISSUED)), keyed, plain, float(assigned), float(any(w in PLAIN_WORDS for w in behind)), longest / len(s), float(len(set(s)) / len(s)),
+        *content, float(bool(re.match(r"\.[A-Za-z]{1,5}\b", after)) or before.endswith((".", "/"))),
+        keyed, plain, assigned, float(any(w in PLAIN_WORDS for w in behind)),
     ]
 
 
@@ -150,26 +168,42 @@ def labelled_findings(n: int = 6000, seed: int = 10) -> list[tuple[str, str, str
     run = lambda alphabet, a, b: "".join(alphabet[k] for k in r.integers(0, len(alphabet), int(r.integers(a, b + 1))))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, base = dig + "abcdef", low + up + dig
+    names = sorted(DICTIONARY)
     parts = ("in", "re", "th", "er", "on", "an", "ti", "es", "or", "st", "ed", "ing", "la", "de", "que", "der", "sch", "ung")
-    word = lambda: pick(sorted(DICTIONARY)) if r.random() < 0.4 else "".join(pick(parts) for _ in range(int(r.integers(1, 5))))
+    word = lambda: pick(names) if r.random() < 0.4 else "".join(pick(parts) for _ in range(int(r.integers(1, 5))))
+    signs, leet = ".~!@$%^&*#?_-", str.maketrans("aeiost", "431057")
+    path = lambda n: "/".join(pick((word(), word() + pick("-_") + word(), word() + run(dig, 1, 3))) for _ in range(n // 6 + 1))
     text = lambda: " ".join(word() for _ in range(int(r.integers(2, 6))))
     out = []
     for k in range(n):
         before, after = text() + pick((" ", " ", ". ", "\n", ", ")), pick((" ", " ", ". ", "\n", ", ")) + text()
         if k % 2:
-            kind = int(r.integers(6))
+            kind = int(r.integers(11))
             if kind == 0:
-                s = pick(("AKIA", "ASIA")) + run(up + dig, 16, 16)
+                s = pick(("AKIA", "ASIA")) + (run(up + dig, 16, 16) if r.random() < 0.8 else run(up, 16, 16))
             elif kind == 1:
                 s = pick(("ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_", "hf_")) + run(base, 20, 40)
             else:
                 s = run(hexa, 14, 64) if kind < 4 else run(base, 16, 48) if kind == 4 else run(base + "+/", 20, 64)
-            if kind > 1 or r.random() < 0.3:
+            if kind == 6:
+                s = run(low + up, 16, 48)
+            elif kind == 7:
+                s = run(base + signs, 6, 24) + pick(dig + up)
+            elif kind == 8:
+                s = "".join(c.translate(leet) if r.random() < 0.6 else c for c in (word() + word()).capitalize()[:12]) + pick(("", "", *signs)) + run(dig, 1, 4) + pick(("", "!", "$"))
+                s = s if r.random() < 0.6 else "".join(run(low + up, 1, 3) + run(dig, 1, 2) + pick(signs) for _ in range(int(r.integers(2, 5)))) + run(base, 1, 4)
+            elif kind == 9:
+                s = run(base, 18, 40) if r.random() < 0.7 else pick(("ghp_", "sk_live_", "AKIA")) + run(base, 16, 30)
+                before += path(int(r.integers(10, 300))) + "/"
+                after = pick(("", "/" + path(20))) + after
+            elif kind == 10:
+                s = run(base + pick(("", "+/")), 64, 1500) if r.random() < 0.5 else run(base + signs, 14, 32) + pick(dig)
+            if kind in (2, 3, 7, 8) or kind in (4, 5, 6) and r.random() < 0.6 or kind in (0, 1, 10) and r.random() < 0.3:
                 quote = pick(("", '"', "'"))
-                before += pick(KEY_WORDS) + pick(("=", " = ", ": ", ":", " ")) + quote
+                before += pick(KEY_WORDS) + pick(("=", " = ", ": ", ":") if kind in (7, 8) else ("=", " = ", ": ", ":", " ")) + quote
                 after = quote + after
         else:
-            kind = int(r.integers(9))
+            kind = int(r.integers(17))
             if kind == 0:
                 s = run(hexa, 32, 32) if r.random() < 0.5 else run(hexa, 40, 64)
                 before += pick(("commit ", "sha1:", "md5 ", "checksum: ", "digest=", "etag: ", "revision ", "hash "))
@@ -192,9 +226,29 @@ def labelled_findings(n: int = 6000, seed: int = 10) -> list[tuple[str, str, str
             elif kind == 7:
                 s = run(hexa, 12, 40)
                 before += pick(("build ", "version ", "ref ", "file ", "image "))
+            elif kind in (8, 9, 10):
+                s = "".join(pick(parts) for _ in range(int(r.integers(3, 9)))) + pick(("", "", word()))
+                s = pick((s, s, s.capitalize(), s.upper()))
+                before += pick(("", "", "", pick(KEY_WORDS) + pick((" ", ": "))))
+                after = pick(("", ".", "###", "!!", ",")) + after
+            elif kind == 11:
+                s = pick((".", "_", "-", "/", "", "&", "@", "...", "?")).join(pick((word(), word().capitalize())) for _ in range(int(r.integers(2, 6))))
+                s = s if r.random() < 0.6 else word() + pick((".", "_", "")) + run(dig, 0, 2) + "@" + word() + run(dig, 0, 1) + pick((".com", ".org", ".example.com", ".de"))
+            elif kind == 12:
+                s = pick("-_/+xay.*#") * int(r.integers(12, 300))
+            elif kind == 13:
+                s = pick((word(), word(), word().capitalize(), "the", "is", "a", "true", "false", "null", "None", "yes", "no", "required", "****", "xxxx", "...", "$PASSWORD", "${TOKEN}", "os.environ", "changeme", "your-token", run(dig, 1, 3)))
+                before += pick(KEY_WORDS) + pick(("=", " = ", ": ", ": ", ":"))
+            elif kind == 14:
+                s = path(int(r.integers(60, 700))) + pick(("", "", "/" + run(base, 18, 40), "/" + pick(("ghp_", "AKIA")) + run(base, 16, 30)))
+                s = s if r.random() < 0.7 else pick((run(base, 18, 40), pick(("ghp_", "AKIA")) + run(base, 16, 30))) + "/" + path(int(r.integers(60, 700)))
+            elif kind == 15:
+                s = pick((word() + word() + word(), word() + "-" + word() + "-" + word(), word() + "_" + word() + run(dig, 0, 3), path(int(r.integers(100, 300)))[-64:]))
+                before += path(int(r.integers(10, 300))) + "/"
+                after = pick(("", "/" + path(20), ".html", ".py")) + after
             else:
                 s = f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}" + pick(("-", "_", "T")) + run(dig, 4, 8)
-            s = s if len(s) >= 12 else s + "_" + run(dig, 12, 12)
+            s = s if len(s) >= 12 or kind > 7 else s + "_" + run(dig, 12, 12)
         out.append((s, before, after, k % 2))
     return out
 
@@ -214,11 +268,11 @@ def forest_from(labels: DataFrame, most_labels: int = 20_000) -> Forest:
     return fit(np.array([features(*r[:3]) for r in got]), np.array([float(r[3]) for r in got]))
 
 
-def runs(data: np.ndarray, off: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the candidates in bytes; none goes over the end of a document."""
+def runs(data: np.ndarray, off: np.ndarray, min_length: int, alphabet: np.ndarray = _RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of an alphabet in bytes; none goes over the end of a document."""
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _RUN[data]
+    inside[1:-1] = alphabet[data]
     begin, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cut = off[1:-1]
     cut = cut[(cut > 0) & (cut < n)]
@@ -226,10 +280,38 @@ def runs(data: np.ndarray, off: np.ndarray, min_length: int) -> tuple[np.ndarray
     last[cut - 1] = inside[1:-1][cut - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
     long = ends - starts >= min_length
-    starts, ends = starts[long], ends[long]
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    some = digits[ends] > digits[starts]
-    return starts[some], ends[some]
+    return starts[long], ends[long]
+
+
+def values(text: bytes) -> Iterator[tuple[int, int]]:
+    """What is assigned to key words, at any length; without quotes also what comes before the next & , or ;."""
+    for m in _VALUE.finditer(text):
+        if _KEYED.search(text[max(0, m.start() - 64) : m.start()]):
+            a, z = m.span(m.lastindex)
+            if m.lastindex == 3:
+                z = a + len(text[a:z].rstrip(b",;)}].")) or z
+                first = re.search(rb"[&,;]", text[a:z])
+                if first and first.start():
+                    yield a, a + first.start()
+            yield a, z
+
+
+def candidates(data: np.ndarray, off: np.ndarray, raw: bytes, min_length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends in bytes, ascending; they can lie in each other."""
+    spots: set[tuple[int, int]] = set()
+    starts, ends = runs(data, off, min_length, _WIDE)
+    solid = np.flatnonzero(_RUN[data])
+    if len(solid) and len(starts):
+        lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+        some = lo <= hi
+        spots.update(zip(solid[lo[some]].tolist(), (solid[hi[some]] + 1).tolist(), strict=True))
+    starts, ends = runs(data, off, min_length)
+    spots.update(zip(starts.tolist(), ends.tolist(), strict=True))
+    for d in range(len(off) - 1):
+        begin = int(off[d])
+        spots.update((begin + a, begin + z) for a, z in values(raw[begin : int(off[d + 1])]))
+    out = sorted(spots)
+    return np.array([a for a, _ in out], np.int64), np.array([z for _, z in out], np.int64)
 
 
 def findings(column: pa.Array, forest: Forest, threshold: float, min_length: int) -> Iterator[tuple[int, int, list[tuple[int, int]], float, str | None]]:
@@ -237,25 +319,33 @@ def findings(column: pa.Array, forest: Forest, threshold: float, min_length: int
     data, off = _text.utf8(column)
     for i, j in _text.parts(off, 4 << 20):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        starts, ends = runs(part, o, min_length)
-        raw, own = part.tobytes(), np.searchsorted(o, starts, "right") - 1
-        rows, spots = [], []
-        for a, z, d in zip(starts.tolist(), ends.tolist(), own.tolist(), strict=True):
-            lo, hi = max(int(o[d]), a - 96), min(int(o[d + 1]), z + 64)
-            rows.append(features(raw[a:z].decode(), raw[lo:a].decode("utf-8", "ignore"), raw[z:hi].decode("utf-8", "ignore")))
-            spots.append((a, z))
-        scores = forest.predict(np.array(rows).reshape(-1, _FEATURES))
+        raw = part.tobytes()
+        starts, ends = candidates(part, o, raw, min_length)
+        own, scores = np.searchsorted(o, starts, "right") - 1, np.zeros(len(starts))
+        for p in range(0, len(starts), 1 << 14):
+            rows = []
+            for a, z, d in zip(*(c[p : p + (1 << 14)].tolist() for c in (starts, ends, own)), strict=True):
+                lo, hi = max(int(o[d]), a - 96), min(int(o[d + 1]), z + 64)
+                rows.append(features(raw[a:z].decode(), raw[lo:a].decode("utf-8", "ignore"), raw[z:hi].decode("utf-8", "ignore")))
+            scores[p : p + len(rows)] = forest.predict(np.array(rows).reshape(-1, _FEATURES))
         first = np.searchsorted(own, np.arange(j - i + 1))
         for d in range(j - i):
-            begin, text, spans, at, out = int(o[d]), raw[int(o[d]) : int(o[d + 1])], [], 0, []
-            for k in range(int(first[d]), int(first[d + 1])):
-                if scores[k] >= threshold:
-                    a, z = spots[k][0] - begin, spots[k][1] - begin
-                    left = len(text[:a].decode())
-                    spans.append((left, left + z - a))
-                    out += [text[at:a].decode(), MASK]
-                    at = z
-            top = float(scores[first[d] : first[d + 1]].max()) if first[d] < first[d + 1] else 0.0
+            begin, text, merged, spans, at, chars, out = int(o[d]), raw[int(o[d]) : int(o[d + 1])], [], [], 0, 0, []
+            mine = slice(int(first[d]), int(first[d + 1]))
+            for a, z, score in zip((starts[mine] - begin).tolist(), (ends[mine] - begin).tolist(), scores[mine].tolist(), strict=True):
+                if score >= threshold:
+                    if merged and a < merged[-1][1]:
+                        merged[-1][1] = max(z, merged[-1][1])
+                    else:
+                        merged.append([a, z])
+            for a, z in merged:
+                kept = text[at:a].decode()
+                left = chars + len(kept)
+                chars = left + len(text[a:z].decode())
+                spans.append((left, chars))
+                out += [kept, MASK]
+                at = z
+            top = float(scores[mine].max()) if first[d] < first[d + 1] else 0.0
             yield i + d, int(first[d + 1] - first[d]), spans, top, "".join(out) + text[at:].decode() if spans else None
 
 
