@@ -2,7 +2,9 @@
 
 Candidates are runs of letters, digits and . ~ ! @ $ % ^ & * # ? + / _ - of min_length bytes or more, without the
 punctuation at their ends, and the runs of + / _ - letters and digits in them; no digit is needed. What follows a
-key word and = or : is a candidate at any length, up to its closing quote or a space. A random forest scores each
+key word and = or : is a candidate at any length, up to its closing quote or a space. So that a key isn't judged by
+what surrounds it, the parts between slashes are candidates of their own, and so are the runs of letters and digits in
+parts over 64 bytes and windows of 32 bytes, 8 apart, in runs over 128. A random forest scores each
 from its length, its character transitions, how much of it a dictionary or common pairs of letters cover, whether
 it looks like a path, and the words beside it. The mask covers the union of all candidates that score as secrets. The forest is trained here from labelled findings: by default from
 labelled_findings(), made by rule from a seed; a caller can give findings of their own, of which at most
@@ -33,7 +35,9 @@ SCHEMA = "doc_id long, n_candidates long, n_secrets long, spans array<string>, t
 MASK = "[SECRET]"
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
-_WIDE = _RUN.copy()
+_PART, _SOLID, _WIDE = _RUN.copy(), _RUN.copy(), _RUN.copy()
+_PART[ord("/")] = False
+_SOLID[[ord(c) for c in "+/_-"]] = False
 _WIDE[[ord(c) for c in ".~!@$%^&*#?"]] = True
 #: Words that stand beside secrets, and words that stand beside harmless strings of the same look.
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "private_key", "client_secret")
@@ -53,6 +57,7 @@ _VALUE = re.compile(rb"[=:]>?[ \t]*(?:(?:[Bb]earer|[Bb]asic)[ \t]+)?(?:\"([^\"\n
 _KEYED = re.compile(rb"(?i)(?:" + b"|".join(k.encode() for k in KEY_WORDS) + rb")[a-z0-9_-]*[\"'`]?\s*$")
 _AROUND = re.compile(r"[A-Za-z][A-Za-z0-9_-]*")
 _FEATURES = 22
+_WINDOW, _LONG = 32, 64
 
 
 @dataclass(frozen=True)
@@ -307,6 +312,15 @@ def candidates(data: np.ndarray, off: np.ndarray, raw: bytes, min_length: int) -
         spots.update(zip(solid[lo[some]].tolist(), (solid[hi[some]] + 1).tolist(), strict=True))
     starts, ends = runs(data, off, min_length)
     spots.update(zip(starts.tolist(), ends.tolist(), strict=True))
+    long = ends - starts > 2 * _LONG
+    for a, z in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        spots.update((k, k + _WINDOW) for k in [*range(a, z - _WINDOW, _WINDOW // 4), z - _WINDOW])
+    starts, ends = runs(data, off, min_length, _PART)
+    spots.update(zip(starts.tolist(), ends.tolist(), strict=True))
+    long = ends - starts > _LONG
+    for a, z in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        inner, till = runs(data[a:z], np.array([0, z - a]), min_length, _SOLID)
+        spots.update(zip((inner + a).tolist(), (till + a).tolist(), strict=True))
     for d in range(len(off) - 1):
         begin = int(off[d])
         spots.update((begin + a, begin + z) for a, z in values(raw[begin : int(off[d + 1])]))

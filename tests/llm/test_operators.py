@@ -465,6 +465,20 @@ def test_secrets_without_digits_and_passwords():
     assert [len(list(secrets.values(t))) for t in (b'token="a b"', b"token = abc", b"a token abc", b"x = abc", b"auth=ab&c=d")] == [1, 1, 0, 0, 2]
 
 
+@pytest.mark.parametrize("sep", ["/", "_", "-"])
+def test_secrets_in_long_runs(sep):
+    """A key after and before 300 characters of path is masked whole, and little else is."""
+    r = np.random.default_rng(6)
+    names, letters = sorted(secrets.DICTIONARY), np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    path = lambda: sep.join(r.choice(names, 70))
+    paths, keys = [path() for _ in range(20)], ["".join(r.choice(letters, int(r.integers(20, 60)))) for _ in range(20)]
+    assert min(map(len, paths)) > 300
+    for put in (lambda p, k: f"see {p}{sep}{k} end", lambda p, k: f"see {k}{sep}{p} end", lambda p, k: f"see {p}{sep}{k}{sep}{p} end"):
+        texts = [put(p, k) for p, k in zip(paths, keys, strict=True)]
+        assert all(len(g) == 1 and k in g[0] and len(g[0]) < len(k) + 96 for g, k in zip(_masked(texts), keys, strict=True))
+    assert _masked(paths) == [[]] * 20
+
+
 def test_forest_from_labels(spark):
     df = spark.createDataFrame([*secrets.labelled_findings(400), (None, "", "", 1), ("abc1", None, None, None)], "candidate string, before string, after string, label int")
     f = secrets.forest_from(df, most_labels=300)
