@@ -380,7 +380,7 @@ def pre_post_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    return studies.recovery(spark, repetitions=40, sigmas=(0.02, 0.08), steps=(0.1, 0.3))
+    return studies.recovery(spark, repetitions=300, sigmas=(0.02, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.14), steps=[k / 20 for k in range(2, 11)], gaps=(0.1, 0.4))
 
 
 # Scenes

@@ -66,31 +66,31 @@ def pre_post(cube: TCube, event: float, band: int | str = 0) -> DataFrame:
     return a.agg(F.avg(F.when(F.col("t") < event, F.col("mean"))).alias("before"), F.avg(F.when(F.col("t") >= event, F.col("mean"))).alias("after"))
 
 
-def recovery(spark: SparkSession, repetitions: int = 300, sigmas: Sequence[float] = (0.02, 0.05, 0.08, 0.14), steps: Sequence[float] = (0.1, 0.25, 0.3), seed: int = 1) -> DataFrame:
-    """sigma, step and, over seeded repetitions: bias and error of the slope, power of the trend test, false alarms, detections and the median error of the break's time.
+def recovery(spark: SparkSession, repetitions: int = 300, sigmas: Sequence[float] = (0.02, 0.05, 0.08, 0.14), steps: Sequence[float] = (0.1, 0.25, 0.3), seed: int = 1, gaps: Sequence[float] = (0.1,)) -> DataFrame:
+    """sigma, step, gap and, over seeded repetitions: bias and error of the slope, power of the trend test, false alarms, detections and the median error of the break's time.
 
-    A series has 72 months, a slope of 0.02 a year, an annual cycle of 0.2, a tenth of gaps and, for the break, a step down after three years.
+    A series has 72 months, a slope of 0.02 a year, an annual cycle of 0.2, a share of gaps and, for the break, a step down after three years.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, sigma, step in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, sigma, step, share in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 r = np.random.default_rng([seed, i])
                 t = np.arange(72) / 12.0
                 noise = r.normal(0, sigma, 72)
-                gap = r.random(72) < 0.1
+                gap = r.random(72) < share
                 slow = np.where(gap, np.nan, 0.02 * t + noise)
                 calm = np.where(gap, np.nan, 0.2 * np.cos(2 * np.pi * t) + noise)
                 broken = np.where(gap, np.nan, calm - step * (t >= 3))
                 alarm = kernels.detect_breaks(t, calm, n_harmonics=1).breaks
                 hit = kernels.detect_breaks(t, broken, n_harmonics=1).breaks
                 near = min((abs(x.time - 3) for x in hit), default=None)
-                out.append((sigma, step, kernels.theil_sen(t, slow).slope - 0.02, kernels.mann_kendall(slow).p_value < 0.05, bool(alarm), near is not None and near < 0.5, near))
+                out.append((sigma, step, share, kernels.theil_sen(t, slow).slope - 0.02, kernels.mann_kendall(slow).p_value < 0.05, bool(alarm), near is not None and near < 0.5, near))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if k < 6 else pa.array(c, pa.float64()) for k, c in enumerate(zip(*out, strict=True))], names=["sigma", "step", "off", "found", "alarm", "hit", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) if k < 7 else pa.array(c, pa.float64()) for k, c in enumerate(zip(*out, strict=True))], names=["sigma", "step", "gap", "off", "found", "alarm", "hit", "near"])
 
-    grid = spark.range(repetitions).crossJoin(F.broadcast(spark.createDataFrame([(float(s), float(d)) for s in sigmas for d in steps], "sigma double, step double")))
-    runs = grid.repartition(8).mapInArrow(run, "sigma double, step double, off double, found boolean, alarm boolean, hit boolean, near double")
+    grid = spark.range(repetitions).crossJoin(F.broadcast(spark.createDataFrame([(float(s), float(d), float(g)) for s in sigmas for d in steps for g in gaps], "sigma double, step double, gap double")))
+    runs = grid.repartition(8).mapInArrow(run, "sigma double, step double, gap double, off double, found boolean, alarm boolean, hit boolean, near double")
     rate = lambda c: F.avg(F.col(c).cast("double"))
-    return runs.groupBy("sigma", "step").agg(F.avg("off").alias("bias"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"), rate("found").alias("power"), rate("alarm").alias("false_alarms"), rate("hit").alias("detections"), F.median("near").alias("time_error"))
+    return runs.groupBy("sigma", "step", "gap").agg(F.avg("off").alias("bias"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"), rate("found").alias("power"), rate("alarm").alias("false_alarms"), rate("hit").alias("detections"), F.median("near").alias("time_error"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cubespan import errors
 from cubespan.__main__ import main
 from cubespan.operators import scenes
-from cubespan.plans import stack, studies
+from cubespan.plans import queries, stack, studies
 from cubespan.sources import geotiff, series, stac
 
 
@@ -189,3 +189,13 @@ def test_stack_plan(spark, tmp_path):
 def test_recovery(spark):
     r = studies.recovery(spark, 30, sigmas=(0.02,), steps=(0.3,)).first()
     assert abs(r.bias) < 0.01 and r.rmse < 0.01 and r.power > 0.8 and r.false_alarms < 0.2 and r.detections > 0.8
+
+
+def test_recovery_by_gaps_and_its_registered_grid(spark, monkeypatch):
+    few, many = studies.recovery(spark, 30, sigmas=(0.05,), steps=(0.3,), gaps=(0.1, 0.4)).orderBy("gap").collect()
+    assert (few.gap, many.gap) == (0.1, 0.4) and few.rmse < many.rmse and few.detections >= many.detections
+    asked = {}
+    monkeypatch.setattr(studies, "recovery", lambda spark, **grid: asked.update(grid))
+    queries.monte_carlo(spark, "")
+    assert asked["repetitions"] == 300 and {0.02, 0.05, 0.14} <= set(asked["sigmas"]) and len(asked["sigmas"]) == 8
+    assert list(asked["steps"]) == pytest.approx([0.1 + 0.05 * k for k in range(9)]) and tuple(asked["gaps"]) == (0.1, 0.4)
