@@ -1,4 +1,4 @@
-"""Shared folders, blocks of documents and packed integers."""
+"""Shared folders, blocks of documents, lookups with hot keys and packed integers."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -20,9 +20,12 @@ BLOCK_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset a local session gets one of its own; on a cluster it is an error, as executors don't share local folders."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="cubespan-")
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir() or known
@@ -34,7 +37,41 @@ def table(df: DataFrame, what: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.options(**options).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cubespan_path = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables of table() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cubespan_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row; maps can't be hashed and don't count."""
+    return F.xxhash64(F.lit(0), *(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()))
+
+
+def look_up(rows: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of small, a row for each key with __n: how many rows have it (total of all).
+
+    A key that has a large share of the rows would go to one task. At most 4 x shuffle partitions keys have
+    1 / (4 x shuffle partitions) of the rows or more, so these can be broadcast; the others are joined by key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col("__n") * 4 * parts >= max(1, total)
+    more = [c for c in small.columns if c not in (key, "__n")]
+    known = small.where(hot).select(key, F.struct(*more).alias("__more"))
+    met = rows.join(F.broadcast(known), key, "left")
+    cold = met.where("__more IS NULL").drop("__more").join(small.where(~hot).drop("__n"), key, how)
+    return met.where("__more IS NOT NULL").select(*rows.columns, *(F.col(f"__more.{c}").alias(c) for c in more)).unionByName(cold)
 
 
 def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubespan.llm import _shared, _text
@@ -254,7 +254,7 @@ def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFram
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, that of the smallest id, once."""
-    kept = _members(docs, n, percent, doc_id, text).select(F.col("chosen").alias("__node")).distinct()
-    left = docs.withColumn("__node", _node(doc_id, text)).join(kept, "__node", "left_semi")
-    one = Window.partitionBy("__node").orderBy(F.xxhash64(*docs.columns))
-    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    kept = _members(docs, n, percent, doc_id, text).select(F.col("chosen").alias("node")).distinct()
+    own = docs.select(_shared.whole_row(docs).alias("row"), _node(doc_id, text).alias("node"), _shared.row_hash(docs).alias("h"))
+    one = own.groupBy("node").agg(F.min_by("row", "h").alias("row"))
+    return one.join(kept, "node", "left_semi").select("row.*")

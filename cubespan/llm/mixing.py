@@ -1,34 +1,40 @@
 """Mixing sources to target weights (operator 9).
 
-The words of a source, in the order of its documents, are cut into blocks of block_words. A source gets a
+The words of a source, in an order of its documents, are cut into blocks of block_words. A source gets a
 target in words: all words of the corpus, shared by weight, a share above most times the source's own words
-being cut to that and the excess reshared among the rest. The mix consists of shards of shard_slots slots.
-How many slots of a shard each source gets is a multinomial draw, held to the sources' totals: counts are
-split down a binary tree of shards by draws without replacement, so any shard's counts follow from the seed
-alone, without the others. Slot i of a source takes block p(i mod blocks) of its pass i div blocks, where p is
-a keyed pseudorandom permutation of the source's blocks that each pass changes; every pass takes every block
-once, and the last slot of a source takes as many words as its target still lacks. Slots and documents meet by
-joining on (source, block).
-
-Null text has no words; null source is a source of its own, the last. Rows with equal ids are rows of their
-own. The same rows give the same mix in any order. The driver holds one row a source, not one a document.
+being cut to that and the excess reshared among the rest. The mix consists of shards of about shard_slots slots.
+How many slots of a shard each source gets is a draw: the whole part of its expectation, and of the slots that
+are left a multinomial draw by the fractional parts. So the counts of shards, and with them what the mix takes,
+depend on the seed, while a source misses its target by a few slots at most. Draws are made for groups of
+shards and split down a binary tree within a group, so any shard's counts follow from the seed alone, without
+the others. Slot i of a source takes block p(i mod blocks) of its pass i div blocks, where p is a keyed
+pseudorandom permutation of the source's blocks that each pass changes; every pass takes every block once, and
+slots beyond most passes stay empty. Slots and documents meet by joining on (source, block).
+
+Null text has no words; null source is a source of its own, the last; a null id is an id of its own. Rows with
+equal ids are rows of their own; rows that agree in id, source and text can't be told apart and lie in one chunk.
+The same rows give the same mix in any order. Columns that the mix doesn't use pass through texts() whatever
+their names. The driver holds one row a source, not one a document.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespan.llm import _text
-from cubespan.llm._shared import table
+from cubespan.llm._shared import row_hash, table, whole_row
 
-#: Above so many slots a node of the tree is split in proportion; a draw would differ by less than 1e-4 of it.
-DRAW_LIMIT = 1 << 28
+#: A group of shards draws fewer slots than that, the most that numpy's hypergeometric draw is exact for.
+GROUP_SLOTS = 1 << 28
+GROUP_SHARDS = 1 << 16
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -48,27 +54,67 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
-def shard_counts(totals: np.ndarray, shards: int, slots: int, wanted: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of shard number wanted: each source's slots before it, and in it. totals: each source's slots; the last shard can be shorter."""
-    before, here, lo, hi = np.zeros_like(totals), totals.astype(np.int64), 0, shards
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left, whole = min((mid - lo) * slots, int(here.sum())), int(here.sum())
-        if whole > DRAW_LIMIT:
-            exact = here * (left / whole)
-            got = np.floor(exact).astype(np.int64)
-            short = left - int(got.sum())
-            got[np.argsort(got - exact, kind="stable")[:short]] += 1
-        else:
-            got = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, left, method="marginals")
-        if wanted < mid:
-            here, hi = got, mid
-        else:
-            before, here, lo = before + got, here - got, mid
-    return before, here
-
-
-def permuted(i: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
+@dataclass(frozen=True)
+class Draws:
+    """How many slots of each shard every source gets. expected: slots of each source in all shards together."""
+
+    expected: tuple[int, ...]
+    shards: int
+    seed: int
+
+    @property
+    def whole(self) -> np.ndarray:
+        """Slots that a source has in every shard."""
+        return np.array(self.expected, np.int64) // self.shards
+
+    @property
+    def rest(self) -> np.ndarray:
+        """The expectation of its drawn slots, in all shards together."""
+        return np.array(self.expected, np.int64) % self.shards
+
+    def drawn_slots(self, shard: int) -> int:
+        """Slots that are drawn in the shards before this one."""
+        q = int(self.rest.sum())
+        return shard * (q // self.shards) + min(shard, q % self.shards)
+
+    @property
+    def group(self) -> int:
+        """Shards that are drawn together."""
+        return max(1, min(GROUP_SHARDS, GROUP_SLOTS // max(1, -(-int(self.rest.sum()) // self.shards))))
+
+    def of_group(self, g: int) -> np.ndarray:
+        lo, hi = g * self.group, min(self.shards, (g + 1) * self.group)
+        n, rest = self.drawn_slots(hi) - self.drawn_slots(lo), self.rest
+        return np.random.default_rng([self.seed, 1, g]).multinomial(n, rest / rest.sum()) if n else np.zeros_like(rest)
+
+    def before_group(self, g: int) -> np.ndarray:
+        return sum((self.of_group(k) for k in range(g)), np.zeros_like(self.rest))
+
+    def totals(self) -> np.ndarray:
+        return self.whole * self.shards + self.before_group(-(-self.shards // self.group))
+
+    def of_shard(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each source's slots before a shard, and in it."""
+        g = shard // self.group
+        lo, hi = g * self.group, min(self.shards, (g + 1) * self.group)
+        before, here = _group_start(self, g)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = self.drawn_slots(mid) - self.drawn_slots(lo)
+            got = np.random.default_rng([self.seed, 2, lo, hi]).multivariate_hypergeometric(here, left, method="marginals")
+            if shard < mid:
+                here, hi = got, mid
+            else:
+                before, here, lo = before + got, here - got, mid
+        return before + shard * self.whole, here + self.whole
+
+
+@functools.lru_cache(16)
+def _group_start(draws: Draws, g: int) -> tuple[np.ndarray, np.ndarray]:
+    return draws.before_group(g), draws.of_group(g)
+
+
+def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     """p(i) for a pseudorandom permutation p of 0..n-1: four rounds of a Feistel network, repeated until the result is below n."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     shift, mask = np.uint64(half), np.uint64((1 << half) - 1)
@@ -76,11 +122,8 @@ def permuted(i: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarr
     x, todo = i.astype(np.uint64), np.arange(len(i))
     while len(todo):
         left, right = x[todo] >> shift, x[todo] & mask
-        for k in reversed(keys) if inverse else keys:
-            if inverse:
-                left, right = right ^ (_text.mix(left + k) & mask), left
-            else:
-                left, right = right, left ^ (_text.mix(right + k) & mask)
+        for k in keys:
+            left, right = right, left ^ (_text.mix(right + k) & mask)
         x[todo] = left << shift | right
         todo = todo[x[todo] >= n]
     return x.astype(np.int64)
@@ -90,29 +133,19 @@ def pass_key(seed: int, source: int, number: int) -> int:
     return (seed * 1_000_003 + source) * 64 + number
 
 
-def place_of_last(blocks: int, key: int) -> int:
-    """The slot of a pass that takes the source's last block, which can be short."""
-    return int(permuted(np.array([blocks - 1]), blocks, key, inverse=True)[0])
-
-
-def word_counts(docs: DataFrame, columns: list, text: str) -> DataFrame:
-    """columns of docs (expressions), then size: the words of the text, 0 for null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = _text.utf8(b.column(b.num_columns - 1))
-            sizes = [np.diff(_text.words(data[off[i] : off[j]], off[i : j + 1] - off[i])[2]) for i, j in _text.parts(off, 4 << 20)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], names=[*b.schema.names[:-1], "size"])
+def word_count(text: Column) -> Column:
+    """The words of a text, 0 for null: white space and a word become one letter each time, and the last word is ours."""
+    body = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" a"))
+    return (F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "a")) - 1).cast("long")
 
-    rows = docs.select(*columns, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, size long")
 
+def place_documents(sized: DataFrame, chunk_rows: int = 1 << 13) -> DataFrame:
+    """sized (doc_id, source, copy, size) with first: the words of its source before it; (source, chunk, place) is a key.
 
-def place_documents(sized: DataFrame, chunk_rows: int = 1 << 12) -> DataFrame:
-    """sized (doc_id, source, copy, size) with first: the words of its source before it; (source, chunk, place) is a key. Long sources are cut into chunks, so no task orders a whole source."""
+    Rows are dealt into chunks by a hash of all four, whatever their source, so no task orders a whole source.
+    """
     n = max(1, math.ceil(sized.count() / chunk_rows))
-    own = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)).cast("int"))
+    own = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "copy", "source", "size"), F.lit(n)).cast("int")).repartition(n, "chunk")
     sums = own.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("chunk")
     sums = sums.select(F.col("source").alias("__s"), F.col("chunk").alias("__c"), (F.sum("words").over(before) - F.col("words")).alias("__before"))
@@ -125,46 +158,36 @@ def place_documents(sized: DataFrame, chunk_rows: int = 1 << 12) -> DataFrame:
 class Mix:
     """A drawn mix. documents: (doc_id, source, copy, size, chunk, place, first); sources: Python rows; slots(): the shards."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(1.0, 2.0, 3.0), most: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 9) -> None:
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(1.0, 2.0, 3.0), most: float = 3.0, block_words: int = 128, shard_slots: int = 1 << 14, seed: int = 9) -> None:
         """weights: by position of the source in the order of code points, null last, repeating."""
-        self.spark, self.block_words, self.shard_slots, self.seed = docs.sparkSession, block_words, shard_slots, seed
-        kept = [F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("copy")]
+        self.spark, self.block_words, self.seed = docs.sparkSession, block_words, seed
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("copy"), word_count(F.col(text)).alias("size"))
         # Sizes are used three times; texts are read for them once.
-        self.documents = table(place_documents(table(word_counts(docs, kept, text), "mix-sizes")), "mix-documents")
+        self.documents = table(place_documents(table(rows, "mix-sizes")), "mix-documents")
         rows = self.documents.groupBy("source").agg(F.sum("size").alias("size")).collect()
         rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
         self.names, sizes = [r.source for r in rows], [r["size"] for r in rows]
         self.sizes = sizes
         self.targets = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(rows))], most)
         self.blocks = [-(-s // block_words) for s in sizes]
-        self.words = [min(round(t), math.floor(most * s)) for t, s in zip(self.targets, sizes, strict=True)]
-        self.totals = [self._slots(k) for k in range(len(rows))]
-
-    def _slots(self, k: int) -> int:
-        """Slots of source k: the fewest that hold its words, the short last block lying where its pass puts it."""
-        size, blocks, words, width = self.sizes[k], self.blocks[k], self.words[k], self.block_words
-        if not words:
-            return 0
-        number, rest = divmod(words, size)
-        n = -(-rest // width)
-        lack = blocks * width - size
-        if rest and n * width - lack < rest and place_of_last(blocks, pass_key(self.seed, k, number)) < n:
-            n += 1
-        return number * blocks + n
+        #: The most slots that a source can fill.
+        self.most = [math.floor(most * b) for b in self.blocks]
+        # A pass takes size words by so many slots as there are blocks; the last block can be short.
+        expected = [min(m, round(t * b / s)) if s else 0 for t, b, s, m in zip(self.targets, self.blocks, sizes, self.most, strict=True)]
+        self.draws = Draws(tuple(expected), max(1, -(-sum(expected) // shard_slots)), seed)
 
     def slots(self) -> DataFrame:
-        """(shard, slot, source_index, pass, block, words): words is what the slot takes from the front of the block.
+        """(shard, slot, source_index, pass, block): a slot takes the whole block.
 
         The planner can't tell how many slots a shard makes and takes this table for small: joins need a hint so that it isn't broadcast.
         """
-        totals = np.array(self.totals, np.int64)
-        shards = max(1, -(-int(totals.sum()) // self.shard_slots))
-        blocks, sizes, words, width, slots, seed = self.blocks, self.sizes, self.words, self.block_words, self.shard_slots, self.seed
+        draws, blocks, most, seed = self.draws, self.blocks, np.array(self.most, np.int64), self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for shard in b.column(0).to_pylist():
-                    before, here = shard_counts(totals, shards, slots, shard, seed)
+                    before, here = draws.of_shard(shard)
+                    here = np.clip(most - before, 0, here)
                     parts = []
                     for k in np.flatnonzero(here).tolist():
                         i = before[k] + np.arange(here[k])
@@ -172,21 +195,15 @@ class Mix:
                         block = np.empty(len(i), np.int64)
                         for p in np.unique(number).tolist():
                             block[number == p] = permuted(inner[number == p], blocks[k], pass_key(seed, k, p))
-                        take = np.minimum(width, sizes[k] - block * width)
-                        final = np.flatnonzero(i == totals[k] - 1)
-                        if len(final):
-                            p, so_far = int(number[final[0]]), int(inner[final[0]])
-                            lack = blocks[k] * width - sizes[k] if place_of_last(blocks[k], pass_key(seed, k, p)) < so_far else 0
-                            used = p * sizes[k] + so_far * width - lack
-                            take[final] = words[k] - used
-                        parts.append((np.full(len(i), k), number, block, take))
+                        parts.append((np.full(len(i), k), number, block))
                     if parts:
-                        k, number, block, take = (np.concatenate(c) for c in zip(*parts, strict=True))
-                        order = np.random.default_rng([seed, shard]).permutation(len(k))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(np.arange(len(k))), *(pa.array(c[order], pa.int64()) for c in (k, number, block, take))], names=["shard", "slot", "source_index", "pass", "block", "words"])
+                        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                        order = np.random.default_rng([seed, 3, shard]).permutation(len(columns[0]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), shard)), pa.array(np.arange(len(order))), *(pa.array(c[order], pa.int64()) for c in columns)], names=["shard", "slot", "source_index", "pass", "block"])
 
-        made = self.spark.range(0, shards if totals.sum() else 0, 1, min(shards, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
-        return made.mapInArrow(run, "shard long, slot long, source_index long, pass long, block long, words long")
+        shards = draws.shards if sum(draws.expected) else 0
+        made = self.spark.range(0, shards, 1, min(max(1, shards), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        return made.mapInArrow(run, "shard long, slot long, source_index long, pass long, block long")
 
     def source_table(self) -> DataFrame:
         """(source, source_index, source_size, target)."""
@@ -194,7 +211,7 @@ class Mix:
         return self.spark.createDataFrame(rows, "source string, source_index long, source_size long, target double")
 
     def pieces(self) -> DataFrame:
-        """(doc_id, copy, size, source, source_index, source_size, target, block, lo, hi): where a document lies in a block of its source; block is null without words."""
+        """(doc_id, copy, size, source, chunk, place, source_index, source_size, target, block, lo, hi): where a document lies in a block of its source; block is null without words."""
         s = self.source_table().withColumnRenamed("source", "__s")
         d = self.documents.join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         width = self.block_words
@@ -204,11 +221,10 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken): one row for each row of the documents."""
-        uses = self.slots().groupBy("source_index", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+        uses = self.slots().groupBy("source_index", "block").agg(F.count(F.lit(1)).alias("times"))
         got = self.pieces().join(uses.hint("merge"), ["source_index", "block"], "left")
-        gain = F.col("times") * F.greatest(F.least("hi", "words") - F.col("lo"), F.lit(0))
         keys = ["source", "chunk", "place", "doc_id", "size", "source_size", "target"]
-        out = got.groupBy(*keys).agg(F.coalesce(F.sum(gain), F.lit(0)).cast("long").alias("taken"))
+        out = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))), F.lit(0)).cast("long").alias("taken"))
         return out.select("doc_id", "size", "source_size", "target", "taken")
 
     def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
@@ -217,26 +233,25 @@ class Mix:
         docs are those the mix was made of. A document that is taken whole keeps its text; else the runs of
         words that were taken follow one another, a line each. Documents that the mix doesn't take go.
         """
-        uses = self.slots().select("source_index", "pass", "block", "words")
-        got = self.pieces().join(uses.hint("merge"), ["source_index", "block"]).where(F.least("hi", "words") > F.col("lo"))
+        uses = self.slots().select("source_index", "pass", "block")
+        got = self.pieces().join(uses.hint("merge"), ["source_index", "block"])
         start = F.col("block") * self.block_words - F.col("first")
-        span = F.struct(F.col("pass"), (start + F.col("lo")).alias("lo"), (start + F.least("hi", "words")).alias("hi"))
+        span = F.struct(F.col("pass"), (start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
         key = ["doc_id", "copy", "source"]
-        spans = got.groupBy(*key, "chunk", "place").agg(F.array_sort(F.collect_list(span)).alias("__spans"))
-        spans = spans.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("chunk", "place")))
+        spans = got.groupBy(*key, "chunk", "place").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+        spans = spans.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("chunk", "place")))
         # Rows that agree in id, text and source are interchangeable; the ones that were taken come first.
-        names, fields = docs.columns, docs.schema
-        own = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__copy": F.xxhash64(F.col(text).cast("string")), "__source": F.col(source).cast("string")})
-        own = own.withColumn("__m", F.row_number().over(Window.partitionBy("__id", "__copy", "__source").orderBy(F.xxhash64(*names))))
-        spans = spans.select("__spans", *(F.col(c).alias(f"__{c}2") for c in key), "__n")
-        same = F.col("__id").eqNullSafe(F.col("__doc_id2")) & (F.col("__copy") == F.col("__copy2")) & F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__m") == F.col("__n"))
-        joined = own.join(spans, same).select(*names, "__spans")
+        own = docs.select(whole_row(docs).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("copy"), F.col(source).cast("string").alias("source"), row_hash(docs).alias("h"))
+        own = own.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("h"))).alias("own")
+        same = F.expr("own.doc_id <=> s.doc_id AND own.copy = s.copy AND own.source <=> s.source AND own.n = s.n")
+        joined = own.join(spans.alias("s"), same).select("own.row", "s.spans")
+        names, at = docs.columns, docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = names.index(text)
             for b in batches:
+                columns = b.column(0).flatten()
                 rows, texts = [], []
-                for i, (body, spans_) in enumerate(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
+                for i, (body, spans_) in enumerate(zip(columns[at].to_pylist(), b.column(1).to_pylist(), strict=True)):
                     data, off = _text.utf8(pa.array([body]))
                     starts, ends, _ = _text.words(data, off)
                     raw = data.tobytes()
@@ -252,17 +267,17 @@ class Mix:
                         texts.append(body if whole else "\n".join(raw[starts[a] : ends[z - 1]].decode() for a, z in runs[p]))
                         rows.append(i)
                     if len(texts) >= 4096:
-                        yield batch(b, rows, texts, at)
+                        yield batch(columns, rows, texts)
                         rows, texts = [], []
                 if rows:
-                    yield batch(b, rows, texts, at)
+                    yield batch(columns, rows, texts)
 
-        def batch(b: pa.RecordBatch, rows: list[int], texts: list[str], at: int) -> pa.RecordBatch:
-            columns = [b.column(k).take(pa.array(rows)) for k in range(len(names))]
-            columns[at] = pa.array(texts, b.column(at).type)
+        def batch(columns: list, rows: list[int], texts: list[str]) -> pa.RecordBatch:
+            out = [c.take(pa.array(rows)) for c in columns]
+            out[at] = pa.array(texts, out[at].type)
             if n_chars in names:
                 k = names.index(n_chars)
-                columns[k] = pa.array([len(t) for t in texts]).cast(b.column(k).type)
-            return pa.RecordBatch.from_arrays(columns, names=names)
+                out[k] = pa.array([len(t) for t in texts]).cast(out[k].type)
+            return pa.RecordBatch.from_arrays(out, names=names)
 
-        return joined.mapInArrow(run, fields)
+        return joined.mapInArrow(run, docs.schema)

@@ -380,44 +380,118 @@ def test_targets():
     assert mixing.targets([0, 5], [1, 2]) == [0, 5] and mixing.targets([], []) == []
 
 
-@pytest.mark.parametrize("block_words", [16, 512])
-def test_mixing(docs, no_docs, rows, block_words):
-    mix = mixing.Mix(docs, block_words=block_words, shard_slots=8)
-    got = mix.taken().collect()
-    assert len(got) == len(rows)
+def mixed_sizes(rows):
     sizes = defaultdict(int)
     for _, t, _, s, *_ in rows:
         sizes[s] += len(WORD.findall(t or ""))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [1 + k % 3 for k in range(len(order))])))
+    return sizes, order, dict(zip(order, mixing.targets([sizes[s] for s in order], [1 + k % 3 for k in range(len(order))])))
+
+
+def taken_by_plain_python(mix, documents):
+    """Words taken of each place of a chunk: blocks and passes counted one by one from the draws of each shard."""
+    uses = Counter()
+    so_far = np.zeros(len(mix.blocks), np.int64)
+    for shard in range(mix.draws.shards):
+        before, here = mix.draws.of_shard(shard)
+        assert (before == so_far).all()
+        so_far = so_far + here
+        for k, n in enumerate(here.tolist()):
+            for i in range(int(before[k]), int(before[k]) + n):
+                if i < mix.most[k]:
+                    number, inner = divmod(i, mix.blocks[k])
+                    uses[k, int(mixing.permuted(np.array([inner]), mix.blocks[k], mixing.pass_key(mix.seed, k, number))[0])] += 1
+    assert (so_far == mix.draws.totals()).all()
+    out = Counter()
+    for d in documents:
+        k = mix.names.index(d.source)
+        out[d.doc_id, d.size, mix.sizes[k], sum(uses[k, w // mix.block_words] for w in range(d.first, d.first + d.size))] += 1
+    return out
+
+
+@pytest.mark.parametrize(("block_words", "shard_slots"), [(16, 8), (16, 1 << 14), (512, 8), (512, 1 << 14)])
+def test_mixing(docs, no_docs, rows, block_words, shard_slots):
+    mix = mixing.Mix(docs, block_words=block_words, shard_slots=shard_slots)
+    got = mix.taken().collect()
+    assert len(got) == len(rows)
+    sizes, order, want = mixed_sizes(rows)
     source, taken = {i: s for i, _, _, s, *_ in rows}, defaultdict(int)
     for r in got:
         s = source[r.doc_id]
         assert (r.source_size, r.target) == (sizes[s], pytest.approx(want[s])) and 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in order)
-    again = mixing.Mix(docs.repartition(5), block_words=block_words, shard_slots=8).taken().collect()
+    # Half a slot by rounding, a short block, and four standard deviations of the drawn slots.
+    off = block_words * (1.5 + 4 * math.sqrt(mix.draws.drawn_slots(mix.draws.shards) / 4))
+    assert all(abs(taken[s] - want[s]) <= off for s in order)
+    assert Counter((r.doc_id, r.size, r.source_size, r.taken) for r in got) == taken_by_plain_python(mix, mix.documents.collect())
+    again = mixing.Mix(docs.repartition(5), block_words=block_words, shard_slots=shard_slots).taken().collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     slots = mix.slots().collect()
-    assert len({(r.shard, r.slot) for r in slots}) == len(slots) == sum(mix.totals)
-    if block_words == 16:
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) == np.minimum(mix.draws.totals(), mix.most).sum()
+    if shard_slots == 8:
         assert mixing.Mix(no_docs).taken().count() == 0
 
 
+def test_mix_depends_on_the_draws(docs, rows):
+    """Other draws give other totals of the sources, all of them near their targets."""
+    sizes, order, want = mixed_sizes(rows)
+    found = set()
+    for seed in range(4):
+        mix = mixing.Mix(docs, block_words=16, shard_slots=32, seed=seed)
+        total = mix.draws.totals()
+        found.add(tuple(total.tolist()))
+        assert all(abs(16 * n - want[s]) <= 0.2 * want[s] + 64 for n, s in zip(total.tolist(), order))
+    assert len(found) > 2
+
+
+def test_mix_of_clashing_names_and_null_ids(spark):
+    names = ["spans", "__spans", "n", "h", "row", "copy", "chunk", "place", "first", "block", "pass", "lo", "hi", "size", "source_index", "__n", "__s"]
+    rows = [(None if k % 5 == 0 else k, " ".join(f"w{k % 7}" for _ in range(k)), f"s{k % 3}", *(f"{c}{k}" for c in names)) for k in range(60)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'`{c}` string' for c in names)}")
+    mix = mixing.Mix(docs, block_words=16)
+    assert mix.taken().count() == 60
+    out = mix.texts(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        k = int(r.spans.removeprefix("spans"))
+        assert all(r[c] == f"{c}{k}" for c in names) and len(WORD.findall(r.text)) <= k
+    kept = jaccard.deduplicate(docs.withColumnsRenamed({"h": "__node", "copy": "node"}))
+    assert all(r["__node"].startswith("h") and r["__n"].startswith("__n") and r["node"].startswith("copy") for r in kept.collect())
+
+
+@pytest.mark.parametrize("text", [None, "", " \t\n", "a", " a", "a ", "a\x0bb\x0cc\rd e", "\u00a0 é\u2003ß 漢", "x" * 100 + " " * 100])
+def test_word_count(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(mixing.word_count(df["text"])).first()[0] == len(WORD.findall(text or ""))
+
+
 def test_shards_split_the_totals():
-    totals = np.array([5, 0, 31, 12])
+    for expected in ((5, 0, 31, 12), (0, 0), (1000, 1, 7)):
+        draws = mixing.Draws(expected, 6, 1)
+        before = np.zeros(len(expected), np.int64)
+        for k in range(6):
+            b, here = draws.of_shard(k)
+            assert (b == before).all() and abs(here.sum() - sum(expected) / 6) < 1
+            before = before + here
+        assert (before == draws.totals()).all() and before.sum() == sum(expected)
+
+
+def test_draws_in_groups(monkeypatch):
+    """More shards than one draw holds: several groups, each split on its own."""
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    draws = mixing.Draws((50, 3, 29, 11), 11, 2)
     before = np.zeros(4, np.int64)
-    for k in range(6):
-        b, here = mixing.shard_counts(totals, 6, 8, k, 1)
-        assert (b == before).all() and here.sum() == 8
+    for k in range(11):
+        b, here = draws.of_shard(k)
+        assert (b == before).all() and (here >= draws.whole).all()
         before = before + here
-    assert (before == totals).all()
+    assert (before == draws.totals()).all() and before.sum() == 93
 
 
 def test_permutations():
     for n in (1, 2, 3, 17, 1000):
         p = mixing.permuted(np.arange(n), n, 12345)
-        assert sorted(p.tolist()) == list(range(n)) and (mixing.permuted(p, n, 12345, inverse=True) == np.arange(n)).all()
+        assert sorted(p.tolist()) == list(range(n))
     assert (mixing.permuted(np.arange(1000), 1000, 1) != mixing.permuted(np.arange(1000), 1000, 2)).any()
 
 
