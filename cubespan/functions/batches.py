@@ -16,6 +16,8 @@ from cubespan.functions import kernels
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 #: Numbers that are held at a time.
 CELLS = 1 << 21
+#: Observations beyond which a series is counted by itself, in n log(n)**2 steps, instead of together with others.
+LONG = 2048
 
 
 def _row_blocks(m: int, cells: int):
@@ -27,7 +29,7 @@ def _row_blocks(m: int, cells: int):
 def theil_sen(t: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
     m, n = t.shape
     slope, ok = np.full(m, np.nan), np.full(m, n >= 2)
-    if n >= 2 and n * (n - 1) // 2 <= CELLS:
+    if 2 <= n <= LONG:
         i, j = np.triu_indices(n, 1)
         for a, z in _row_blocks(m, len(i)):
             dt, dv = t[a:z, j] - t[a:z, i], v[a:z, j] - v[a:z, i]
@@ -55,9 +57,12 @@ def mann_kendall(v: np.ndarray, alpha: float = 0.05) -> dict[str, np.ndarray]:
     if n < 3:
         nothing = np.full(m, np.nan)
         return {"trend": np.full(m, "", object), "s": nothing, "var_s": nothing, "z": nothing, "tau": nothing, "p_value": nothing, "n": np.full(m, n), "ok": np.zeros(m, bool)}
-    s = np.zeros(m)
-    for k in range(n - 1):
-        s += np.sign(v[:, k + 1 :] - v[:, k : k + 1]).sum(axis=1)
+    if n > LONG:
+        s = np.array([kernels.mann_kendall(x).s for x in v])
+    else:
+        s = np.zeros(m)
+        for k in range(n - 1):
+            s += np.sign(v[:, k + 1 :] - v[:, k : k + 1]).sum(axis=1)
     ordered = np.sort(v, axis=1)
     tied = np.zeros(m)
     for k in np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1)):

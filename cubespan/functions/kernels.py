@@ -163,28 +163,103 @@ def linear_trend(t, v) -> LinearTrend:
     return LinearTrend(slope, float(v.mean() - slope * t.mean()), 1.0 - rest / yy if yy > 0 else 1.0, err, p, n)
 
 
-def _pair_blocks(n: int):
-    """Ranges of first members, so that a range makes PAIR_BLOCK pairs at most (one row at least)."""
-    step = max(1, PAIR_BLOCK // max(1, n))
-    for a in range(0, n - 1, step):
-        yield a, min(n - 1, a + step)
+def _inversions(b: np.ndarray):
+    """Level by level of a merge sort: (left places in order, starts, ends) so that left[starts[k]:ends[k]] are the places before right[k] that hold more than it; with the right places."""
+    n, width = len(b), 1
+    rank = np.unique(b, return_inverse=True)[1].astype(np.int64)
+    place, top = np.arange(n), int(rank.max(initial=0)) + 1
+    while width < n:
+        block = place // (2 * width)
+        is_left = place // width % 2 == 0
+        left, right = place[is_left], place[~is_left]
+        key = block[is_left] * top + rank[left]
+        order = np.argsort(key, kind="stable")
+        key, left = key[order], left[order]
+        mine = block[~is_left]
+        yield left, right, np.searchsorted(key, mine * top + rank[right], "right"), np.searchsorted(key, (mine + 1) * top)
+        width *= 2
+
+
+def _inverted(b: np.ndarray) -> int:
+    """Pairs i < j with b[i] > b[j], in n log(n)**2 steps."""
+    return sum(int((ends - starts).sum()) for _, _, starts, ends in _inversions(b))
+
+
+def _kth_slope(t: np.ndarray, v: np.ndarray, pairs: int, k: int) -> np.ndarray:
+    """The slopes of rank k and k + 1, from 0, of all pairs with different times, or of rank k alone; t ascends, equal times by v.
+
+    Slopes below m are the inversions of v - m t, so they are counted without making pairs. Pivots drawn from
+    the slopes narrow the range until the pairs in it can be listed. Where too many for that lie within 1e-12
+    of one slope, that slope is the result.
+    """
+    n, lo, hi, below, upto = len(t), -math.inf, math.inf, 0, pairs
+    rng = np.random.default_rng(n)
+    tiny = max(float(np.abs(v).max()) / float(np.ptp(t)) * 1e-13, 1e-300)
+    while upto - below > PAIR_BLOCK:
+        i, j = np.sort(rng.integers(0, n, (2, 1 << 17)), axis=0)
+        use = t[i] < t[j]
+        s = (v[j] - v[i])[use] / (t[j] - t[i])[use]
+        s = np.sort(s[(s > lo) & (s < hi)])
+        if not len(s):
+            continue
+        at, room = (k - below) / (upto - below) * len(s), 2 * math.sqrt(len(s)) + 1
+        p, q = (float(s[int(np.clip(at + d, 0, len(s) - 1))]) for d in (-room, room))
+        one = q - p <= 2 * max(abs(p) * 1e-12, tiny)
+        if one:
+            p, q = p - max(abs(p) * 1e-12, tiny), q + max(abs(q) * 1e-12, tiny)
+        before = (lo, hi)
+        for m in (p, q):
+            if lo < m < hi:
+                c = _inverted(v - m * t)
+                lo, hi, below, upto = (m, hi, c, upto) if c <= k else (lo, m, below, c)
+        if one and upto - below > PAIR_BLOCK and (before == (lo, hi) or (lo, hi) == (p, q)):
+            return np.array([(p + q) / 2] * (2 if k + 1 < upto else 1))
+    found = _listed(t, v, lo, hi)
+    two = [x for x in (k - below, k + 1 - below) if x < len(found)]
+    return np.partition(found, two)[two]
+
+
+def _middle_slope(t: np.ndarray, v: np.ndarray) -> float:
+    """The median of the slopes of all pairs with different times, in n log(n)**2 steps and bounded memory."""
+    order = np.lexsort((v, t))
+    t, v = t[order] - t.mean(), v[order]
+    same, n = np.unique(t, return_counts=True)[1], len(t)
+    pairs = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
+    if not pairs:
+        raise DimensionMismatch("all times are equal")
+    low = _kth_slope(t, v, pairs, (pairs - 1) // 2)
+    if pairs % 2:
+        return float(low[0])
+    return float(low[0] + (low[1] if len(low) > 1 else _kth_slope(t, v, pairs, pairs // 2)[0])) / 2
+
+
+def _listed(t: np.ndarray, v: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The slopes in [lo, hi): of pairs that change their order between v - lo t and v - hi t."""
+    order = np.arange(len(t)) if lo == -math.inf else np.lexsort((t, v - lo * t))
+    x, y = t[order], v[order]
+    out = [np.zeros(0)]
+    for left, right, starts, ends in _inversions(-x if hi == math.inf else y - hi * x):
+        size = ends - starts
+        i = left[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        j = np.repeat(right, size)
+        out.append((y[j] - y[i]) / (x[j] - x[i]))
+    return np.concatenate(out)
 
 
 def theil_sen(t, v) -> TheilSen:
-    """Median slope of all pairs with different times."""
+    """Median slope of all pairs with different times. Long series are counted instead of paired."""
     t, v = finite_pairs(t, v)
     n = len(t)
     if n < 2:
         raise InsufficientData(2, n)
-    slopes = []
-    for a, z in _pair_blocks(n):
-        dt, dv = t[None, a + 1 :] - t[a:z, None], v[None, a + 1 :] - v[a:z, None]
-        use = (np.arange(a + 1, n)[None, :] > np.arange(a, z)[:, None]) & (dt != 0)
-        slopes.append(dv[use] / dt[use])
-    slopes = np.concatenate(slopes)
-    if not len(slopes):
-        raise DimensionMismatch("all times are equal")
-    slope = float(np.median(slopes))
+    if n * (n - 1) // 2 > PAIR_BLOCK:
+        slope = _middle_slope(t, v)
+    else:
+        i, j = np.triu_indices(n, 1)
+        dt, dv = t[j] - t[i], v[j] - v[i]
+        if not dt.any():
+            raise DimensionMismatch("all times are equal")
+        slope = float(np.median(dv[dt != 0] / dt[dt != 0]))
     return TheilSen(slope, float(np.median(v) - slope * np.median(t)), n)
 
 
@@ -195,11 +270,9 @@ def mann_kendall(v, alpha: float = 0.05) -> MannKendall:
     n = len(v)
     if n < 3:
         raise InsufficientData(3, n)
-    s = 0
-    for a, z in _pair_blocks(n):
-        sign = np.sign(v[None, a + 1 :] - v[a:z, None])
-        s += int(sign[np.arange(a + 1, n)[None, :] > np.arange(a, z)[:, None]].sum())
-    g = np.unique(v + 0.0, return_counts=True)[1].astype(np.float64)
+    g = np.unique(v + 0.0, return_counts=True)[1]
+    s = n * (n - 1) // 2 - int((g * (g - 1) // 2).sum()) - 2 * _inverted(v + 0.0)
+    g = g.astype(np.float64)
     var = (n * (n - 1) * (2 * n + 5) - float((g * (g - 1) * (2 * g + 5)).sum())) / 18.0
     z = (s - np.sign(s)) / math.sqrt(var) if s and var > 0 else 0.0
     p = 2.0 * norm_sf(abs(z))

@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from cubespan.errors import BandOutOfRange, DimensionMismatch, InvalidChunkSize, InvalidParameter
 from cubespan.functions import columns as C
 from cubespan.functions import registry
 from cubespan.operators import breaks, trend
+from cubespan.operators.packed import AXIS_BOUND, PackedCube
 
 METHODS: dict[str, Callable[[Column], Column]] = {"median": F.median, "mean": F.avg, "min": F.min, "max": F.max}
 
@@ -84,10 +86,12 @@ class TCube:
 
     def to_numpy(self) -> np.ndarray:
         """(band, y, x, time) with NaN for missing, on the driver."""
-        axis = {(r.ti, r.t): k for k, r in enumerate(self.slices.orderBy("t", "ti").collect())}
-        out = np.full((*self.dims[:-1], len(axis)), np.nan)
-        for r in self.long.where("v IS NOT NULL").toLocalIterator():
-            out[(self.bands.index(r.band), *(int(r[k]) for k in self.keys), axis[r.ti, r.t])] = r.v
+        axis = pa.Table.from_pylist([{"ti": r.ti, "t": r.t, "k": k} for k, r in enumerate(self.slices.orderBy("t", "ti").collect())], pa.schema([("ti", pa.int64()), ("t", pa.float64()), ("k", pa.int64())]))
+        out = np.full((*self.dims[:-1], axis.num_rows), np.nan)
+        band = F.element_at(F.create_map(*(x for k, b in enumerate(self.bands) for x in (F.lit(b), F.lit(k)))), F.col("band"))
+        got = self.long.where("v IS NOT NULL").select(band.alias("b"), *(F.col(k).cast("long").alias(f"k{i}") for i, k in enumerate(self.keys)), F.col("ti").cast("long").alias("ti"), "t", "v").toArrow()
+        got = got.join(axis, ["ti", "t"], join_type="inner")
+        out[tuple(got[c].to_numpy() for c in ("b", *(f"k{i}" for i in range(len(self.keys))), "k"))] = got["v"].to_numpy()
         return out
 
     def band_name(self, band: int | str) -> str:
@@ -119,10 +123,27 @@ class TCube:
         """Rows (keys, ts, vs) in the order of the keys, streamed to the driver."""
         return self.pack(band).orderBy(*self.keys).toLocalIterator()
 
+    def axis(self) -> list | None:
+        """The rows (ti, t) of the slices, or None where there are more than the driver should hold."""
+        found = self.slices.select("ti", "t").limit(AXIS_BOUND + 1).collect()
+        return found if len(found) <= AXIS_BOUND else None
+
+    def dense(self) -> PackedCube:
+        """The cube with one row a series, for axes of bounded length."""
+        axis = self.axis()
+        if axis is None:
+            raise InvalidParameter(f"the axis has more than {AXIS_BOUND} slices")
+        return PackedCube.from_cube(self, axis)
+
     def densify(self) -> TCube:
-        """A row for every series and slice; what was missing is null."""
+        """A row for every series and slice; what was missing is null. One shuffle on the keys for an axis of bounded length."""
+        axis = self.axis()
+        if axis is not None:
+            full = PackedCube.from_cube(self, axis).to_cube()
+            number = self.long.schema["ti"].dataType
+            return replace(self, long=full.long.withColumn("ti", F.col("ti").cast(number)))
         pixels = self.long.select(*self.keys, "band").distinct()
-        full = pixels.join(self.slices.select("ti", "t"))
+        full = pixels.join(self.slices.select("ti", "t").hint("shuffle_replicate_nl"))
         have = self.long.select(*self.keys, "band", "ti", F.col("t"), "v")
         return replace(self, long=full.join(have, [*self.keys, "band", "ti", "t"], "left"))
 
@@ -201,19 +222,23 @@ class TCube:
         """
         if method not in METHODS:
             raise KeyError(f"bad method {method!r}")
-        if window == "same_time":
-            group = F.col("t")
+        width = window_width(window)
+        if width is None:
+            group, axis = F.col("t"), self.slices
+        else:
+            # The axis is made once: it gives the first bin as well as the times of all.
+            axis = self.slices.persist(StorageLevel.MEMORY_AND_DISK)
+            first = axis.agg(F.min("t")).first()[0]
+            group = F.floor((F.col("t") - F.lit(0.0 if first is None else first)) / F.lit(width)).cast("long")
+        groups = axis.withColumn("g", group).groupBy("g").agg(F.avg("t").alias("t"), F.min("ti").alias("__ti"))
+        number = F.col("__ti") if width is None else F.col("g")
+        reduced = self.long.withColumn("g", group).groupBy(*self.keys, "band", "g").agg(METHODS[method](F.col("v")).alias("v"))
+        if width is None:
+            # Equal times: a group's time is its own.
+            out = reduced.join(groups.drop("t"), "g").select(*self.keys, "band", number.alias("ti"), F.col("g").alias("t"), "v")
         else:
-            width = 1 / 12 if window == "monthly" else _width(window)
-            first = self.slices.agg(F.min("t")).scalar()
-            group = F.floor((F.col("t") - first) / F.lit(width))
-        kind = "double" if window == "same_time" else "long"
-        axis = self.slices.withColumn("g", group.cast(kind))
-        groups = axis.groupBy("g").agg(F.avg("t").alias("t"), F.min("ti").alias("__ti"))
-        number = F.col("__ti") if window == "same_time" else F.col("g")
-        fact = self.long.withColumn("g", group.cast(kind))
-        reduced = fact.groupBy(*self.keys, "band", "g").agg(METHODS[method](F.col("v")).alias("v"))
-        out = reduced.join(groups, "g").select(*self.keys, "band", number.alias("ti"), "t", "v")
+            small = groups.limit(AXIS_BOUND + 1).count() <= AXIS_BOUND
+            out = reduced.join(F.broadcast(groups) if small else groups.hint("merge"), "g").select(*self.keys, "band", number.alias("ti"), "t", "v")
         cube = replace(self, long=out, slices=groups.select(number.alias("ti"), "t"))
         return cube.densify() if dense else cube
 
@@ -239,7 +264,12 @@ class TCube:
         return replace(self, long=wide.select(*self.keys, F.lit(name).alias("band"), "ti", "t", v.alias("v")), bands=(name,))
 
 
-def _width(window: str | float) -> float:
+def window_width(window: str | float) -> float | None:
+    """The width of a composite's bins, or None for slices of equal times."""
+    if window == "same_time":
+        return None
+    if window == "monthly":
+        return 1 / 12
     try:
         width = float(window.removeprefix("period:")) if isinstance(window, str) and window.startswith("period:") else float(window)
     except ValueError:

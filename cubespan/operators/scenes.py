@@ -57,11 +57,11 @@ def judged(items: DataFrame, grids: DataFrame, cfg: StackConfig) -> DataFrame:
     have = grids.where(F.col("asset").isin(*cfg.assets)).groupBy("item_id").agg(F.collect_set("asset").alias("have"), F.min("epsg").alias("grid_epsg"))
     own = first.join(have, "item_id", "left").withColumn("t", C.fractional_year_iso(F.col("datetime")))
     lacking = F.array_except(F.array(*map(F.lit, cfg.assets)), F.coalesce("have", F.array().cast("array<string>")))
-    reason = F.when(F.col("datetime").isNull(), "item has no datetime").when(F.col("t").isNull(), F.concat(F.lit("unparseable datetime '"), "datetime", F.lit("'")))
+    reason = F.when(F.col("datetime").isNull(), "no datetime given").when(F.col("t").isNull(), F.concat(F.lit("datetime '"), "datetime", F.lit("' can't be read")))
     if cfg.max_cloud_cover is not None:
         cc = F.col("cloud_cover")
         reason = reason.when(F.coalesce(cc, F.lit(0.0)) > cfg.max_cloud_cover, F.concat(F.lit("cloud cover "), F.round(cc).cast("int"), F.lit(f"% > {cfg.max_cloud_cover:.0f}%")))
-    reason = reason.when(F.size(lacking) > 0, F.concat(F.lit("asset '"), F.get(lacking, 0), F.lit("' not found in item")))
+    reason = reason.when(F.size(lacking) > 0, F.concat(F.lit("asset '"), F.get(lacking, 0), F.lit("' is missing")))
     return own.withColumn("reason", reason).withColumn("scene_epsg", F.coalesce("epsg", "grid_epsg"))
 
 
@@ -118,7 +118,7 @@ def stack(items: DataFrame, grids: DataFrame, pixels: DataFrame, cfg: StackConfi
         why = F.concat(F.lit("EPSG "), "scene_epsg", F.lit(f" -> {lead.epsg} (not UTM)"))
     else:
         differ = F.col("epsg") != known
-        why = F.concat(F.lit("EPSG "), "epsg", F.lit(f" differs from reference EPSG {lead.epsg} (cross-zone mosaic off)"))
+        why = F.concat(F.lit("EPSG "), "epsg", F.lit(f" isn't that of the reference, {lead.epsg}, and zones aren't joined"))
     every = every.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(differ, why))
     slices = every.where("reason IS NULL").withColumn("ti", F.row_number().over(Window.orderBy("datetime", "item_id")) - 1)
     slices = slices.select("ti", "item_id", "datetime", "t", "cloud_cover", "scene_epsg")

@@ -35,6 +35,13 @@ def event_bands(spark: SparkSession, sf_dir: str) -> TCube:
     return TCube.from_long(rows.drop("user_id"), keys=("y", "x"))
 
 
+def quantities(spark: SparkSession, sf_dir: str) -> TCube:
+    """A series for each supplier and flag of return (the band): quantities at the days of shipping, several a day."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    own = li.select("l_suppkey", F.col("l_returnflag").alias("band"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ti"), (C.fractional_year(F.col("l_shipdate")) - 1995.0).alias("t"), F.col("l_quantity").alias("v"))
+    return TCube.from_long(own, keys=("l_suppkey",))
+
+
 def with_signal() -> Column:
     """The values of events with a step for a third of the users and a slope for another."""
     step = F.when((F.col("user_id") % 3 == 0) & (F.col("t") >= 0.04), 300.0).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 ORIGIN = 2024
 
 
@@ -41,6 +43,26 @@ def student(t: str, df: str) -> str:
     return f"(CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
+def simpson(f: Callable[[str], str], top: str, steps: int = 4000) -> str:
+    """The integral of f from 0 to top."""
+    weight = f"(CASE WHEN j = 0 OR j = {steps} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END)"
+    at = f(f"(j * ({top}) / {steps}.0::DOUBLE)")
+    return f"(({top}) / {3 * steps}.0::DOUBLE * list_sum(list_transform(range(0, {steps + 1}), lambda j: {weight} * ({at}))))"
+
+
+def normal_tail(z: str) -> str:
+    """2 P(Z > z) as an integral, so that its digits hold far out."""
+    x = f"({z} / sqrt(2.0::DOUBLE))"
+    integral = simpson(lambda u: f"exp(-{u} * {u} - 2 * {x} * {u})", f"sqrt({x} * {x} + 42) - {x}")
+    return f"(2 / sqrt(pi()) * exp(-{x} * {x}) * {integral})"
+
+
+def student_tail(t: str, df: str) -> str:
+    """The two-sided p-value as an integral over the angle."""
+    integral = simpson(lambda u: f"pow(sin({u}), {df} - 1)", f"CASE WHEN {t} > 0 THEN atan(sqrt(CAST({df} AS DOUBLE)) / {t}) ELSE pi() / 2 END")
+    return f"(2 / sqrt(pi()) * exp(lgamma(({df} + 1) / 2.0::DOUBLE) - lgamma({df} / 2.0::DOUBLE)) * {integral})"
+
+
 def ols(rel: str, key: str) -> str:
     """fit(key, n, slope, intercept, r_squared, std_err, p_value) of rel(key, t, v)."""
     return f"""sums AS (
@@ -104,7 +126,7 @@ def gapfill(rel: str, key: str, max_gap: float | None) -> str:
 
 
 def harmonic(rel: str, key: str, period: str, k: int = 1) -> str:
-    """har(key, n, centre, b0, b1, ...) of rel(key, t, v): the normal equations, eliminated step by step without pivoting."""
+    """har(key, n, centre, b0, b1, ...) and rest(key, sse, yy) of rel(key, t, v): the normal equations, eliminated step by step without pivoting."""
     p = 2 + 2 * k
     basis = ["1.0::DOUBLE", "(t - c)"] + [f"{f}(2 * pi() / ({period}) * {h} * t)" for h in range(1, k + 1) for f in ("cos", "sin")]
     rows = ", ".join(f"{e} AS x{i}" for i, e in enumerate(basis))
@@ -114,7 +136,7 @@ def harmonic(rel: str, key: str, period: str, k: int = 1) -> str:
         cells = [f"a{s}_{i}_{j} - a{s}_{i}_{s} / a{s}_{s}_{s} * a{s}_{s}_{j} AS a{s + 1}_{i}_{j}" if i > s else f"a{s}_{i}_{j} AS a{s + 1}_{i}_{j}" for i in range(p) for j in range(p)]
         cells += [f"r{s}_{i} - a{s}_{i}_{s} / a{s}_{s}_{s} * r{s}_{s} AS r{s + 1}_{i}" if i > s else f"r{s}_{i} AS r{s + 1}_{i}" for i in range(p)]
         steps.append(f"el{s + 1} AS (SELECT {key}, n, centre, {', '.join(cells)} FROM el{s})")
-    last, back = p - 1, []
+    last, back, fitted = p - 1, [], " - ".join(f"b{i} * x{i}" for i in range(p))
     for i in range(p - 1, -1, -1):
         rest = "".join(f" - a{last}_{i}_{j} * b{j}" for j in range(i + 1, p))
         have = ", ".join(f"b{j}" for j in range(i + 1, p))
@@ -122,7 +144,8 @@ def harmonic(rel: str, key: str, period: str, k: int = 1) -> str:
     return f"""cen AS (SELECT {key}, t, v, avg(t) OVER (PARTITION BY {key}) AS c FROM {rel} WHERE v IS NOT NULL),
 des AS (SELECT {key}, v, c, {rows} FROM cen),
 el0 AS (SELECT {key}, count(*) AS n, min(c) AS centre, {sums} FROM des GROUP BY {key} HAVING count(*) >= {p + 1}),
-{', '.join(steps)}, {', '.join(back)}, har AS (SELECT * FROM bk0)"""
+{', '.join(steps)}, {', '.join(back)}, har AS (SELECT * FROM bk0),
+rest AS (SELECT {key}, sum(pow(v - {fitted}, 2)) AS sse, regr_syy(v, v) AS yy FROM des JOIN har USING ({key}) GROUP BY {key})"""
 
 
 def breaks(rel: str, key: str, alpha: float = 0.05, least: int = 12, levels: int = 6) -> str:
@@ -140,3 +163,62 @@ def breaks(rel: str, key: str, alpha: float = 0.05, least: int = 12, levels: int
     out.append(f"cus AS (SELECT {key}, hi AS n, statistic, {bridge('statistic')} AS p_value, idx, time FROM st0)")
     out.append("brk AS (" + " UNION ALL ".join(f"SELECT {key}, idx, time, statistic, p_value FROM br{i}" for i in range(levels)) + ")")
     return ",\n".join(out)
+
+
+def harmonic_breaks(rel: str, key: str, period: str, alpha: float = 0.05, least: int = 12, levels: int = 5) -> str:
+    """As breaks(), on residuals of a line and one harmonic: each level's segments are solved as harmonic() does."""
+    out = [f"ob AS MATERIALIZED (SELECT {key}, t, v, row_number() OVER (PARTITION BY {key} ORDER BY t, ti) - 1 AS pos FROM {rel} WHERE v IS NOT NULL)", f"seg0 AS MATERIALIZED (SELECT {key}, 0 AS lo, count(*) AS hi FROM ob GROUP BY {key} HAVING count(*) >= {least})"]
+    angle = f"2 * pi() / ({period}) * t"
+    for i in range(levels):
+        x = ["1.0::DOUBLE", "t - c", f"cos({angle})", f"sin({angle})"]
+        p = range(4)
+        sums = ", ".join([f"sum(x{r} * x{q}) AS a{r}{q}" for r in p for q in p] + [f"sum(x{r} * v) AS r{r}" for r in p])
+        out += [
+            f"ce{i} AS MATERIALIZED (SELECT {key}, s.lo, s.hi, pos, t, v, avg(t) OVER (PARTITION BY {key}, s.lo) AS c FROM ob JOIN seg{i} s USING ({key}) WHERE pos >= s.lo AND pos < s.hi)",
+            f"de{i} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS x{k}' for k, e in enumerate(x))} FROM ce{i})",
+            f"no{i}_0 AS (SELECT {key}, lo, {sums} FROM de{i} GROUP BY {key}, lo)",
+        ]
+        for k in range(3):
+            cells = [f"a{r}{q} - a{r}{k} / a{k}{k} * a{k}{q} AS a{r}{q}" if r > k else f"a{r}{q}" for r in p for q in p] + [f"r{r} - a{r}{k} / a{k}{k} * r{k} AS r{r}" if r > k else f"r{r}" for r in p]
+            out.append(f"no{i}_{k + 1} AS MATERIALIZED (SELECT {key}, lo, {', '.join(cells)} FROM no{i}_{k})")
+        out += [
+            f"so{i} AS (SELECT *, (r0 - a01 * b1 - a02 * b2 - a03 * b3) / a00 AS b0 FROM (SELECT *, (r1 - a12 * b2 - a13 * b3) / a11 AS b1 FROM (SELECT *, (r2 - a23 * b3) / a22 AS b2 FROM (SELECT *, r3 / a33 AS b3 FROM no{i}_3))))",
+            f"re{i} AS MATERIALIZED (SELECT {key}, lo, hi, pos, t, v - b0 * x0 - b1 * x1 - b2 * x2 - b3 * x3 AS e FROM de{i} JOIN so{i} USING ({key}, lo))",
+            f"pa{i} AS MATERIALIZED (SELECT *, sum(e) OVER (PARTITION BY {key}, lo ORDER BY pos) / (sqrt(sum(e * e) OVER (PARTITION BY {key}, lo) / (hi - lo - 4)) * sqrt(hi - lo)) AS w FROM re{i})",
+            f"st{i} AS (SELECT {key}, lo, hi, max(abs(w)) AS statistic, arg_max(pos, row(abs(w), -pos)) FILTER (pos >= lo + {least - 1} AND pos <= hi - {least + 1}) AS idx, arg_max(t, row(abs(w), -pos)) FILTER (pos >= lo + {least - 1} AND pos <= hi - {least + 1}) AS time FROM pa{i} GROUP BY ALL)",
+            f"br{i} AS MATERIALIZED (SELECT * FROM (SELECT *, {bridge('statistic')} AS p_value FROM st{i}) WHERE hi - lo >= {2 * least} AND p_value < {alpha})",
+            f"seg{i + 1} AS MATERIALIZED (SELECT {key}, lo, idx + 1 AS hi FROM br{i} UNION ALL SELECT {key}, idx + 1, hi FROM br{i})",
+        ]
+    out.append(f"cus AS (SELECT {key}, hi AS n FROM seg0)")
+    out.append("brk AS (" + " UNION ALL ".join(f"SELECT {key}, idx, time FROM br{i}" for i in range(levels)) + ")")
+    return ",\n".join(out)
+
+
+def _kruger() -> dict[str, object]:
+    """WGS 84 and the coefficients of Krüger's series to the fourth order of the third flattening n (Karney 2011)."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    return {
+        "e": (f * (2 - f)) ** 0.5,
+        "r": 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64),
+        "a": (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280),
+        "b": (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280),
+    }
+
+
+def utm(rel: str, key: str, source: int, target: int) -> str:
+    """moved(key, x, y): places of rel(key, x, y) of one southern zone in another. Conformal and geographic latitude differ by a fixed point of twelve steps."""
+    k = _kruger()
+    e, r = f"{k['e']!r}::DOUBLE", f"{k['r']!r}::DOUBLE"
+    inner = lambda c, g, h: " ".join(f"- {v!r}::DOUBLE * {g}({2 * j} * xi) * {h}({2 * j} * eta)" for j, v in enumerate(c, 1))
+    outer = lambda c, g, h: " ".join(f"+ {v!r}::DOUBLE * {g}({2 * j} * xi) * {h}({2 * j} * eta)" for j, v in enumerate(c, 1))
+    steps = ",\n".join(f"la{i + 1} AS (SELECT {key}, lon, c, tanh(c + {e} * atanh({e} * s)) AS s FROM la{i})" for i in range(12))
+    central = lambda zone: f"({zone % 100} * 6 - 183)"
+    return f"""co AS (SELECT {key}, (x - 500000) / {r} AS eta, (y - 10000000) / {r} AS xi FROM {rel}),
+cp AS (SELECT {key}, eta {inner(k['b'], 'cos', 'sinh')} AS p, xi {inner(k['b'], 'sin', 'cosh')} AS q FROM co),
+cq AS (SELECT {key}, atanh(sin(q) / cosh(p)) AS c, degrees(atan2(sinh(p), cos(q))) + {central(source)} AS lon FROM cp),
+la0 AS (SELECT {key}, lon, c, tanh(c) AS s FROM cq),
+{steps},
+ga AS (SELECT {key}, radians(lon - {central(target)}) AS lam, sinh(atanh(s) - {e} * atanh({e} * s)) AS tau FROM la12),
+gb AS (SELECT {key}, atan2(tau, cos(lam)) AS xi, asinh(sin(lam) / sqrt(tau * tau + cos(lam) * cos(lam))) AS eta FROM ga),
+moved AS (SELECT {key}, 500000 + {r} * (eta {outer(k['a'], 'cos', 'sinh')}) AS x, 10000000 + {r} * (xi {outer(k['a'], 'sin', 'cosh')}) AS y FROM gb)"""

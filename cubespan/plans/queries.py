@@ -5,6 +5,7 @@ Numbers are rounded alike on both sides; adding 0.0 makes negative zero positive
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from cubespan.functions import registry, utm
 from cubespan.operators import scenes, trend
 from cubespan.plans import fixtures, oracle, studies
 from cubespan.plans.oracle import rounded
+from cubespan.sources import folders, series
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,9 +95,7 @@ def pixel_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {oracle.EVENTS} SELECT count(DISTINCT band) AS bands, max(y) + 1 AS height, max(x) + 1 AS width, (SELECT count(*) FROM (SELECT DISTINCT ti, t FROM e)) AS times FROM e")
 def cube_dims(spark: SparkSession, d: str) -> DataFrame:
-    cube = fixtures.event_bands(spark, d)
-    times = cube.slices.agg(F.count(F.lit(1)).alias("times"))
-    return cube.long.agg(F.count_distinct("band").alias("bands"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")).crossJoin(times)
+    return spark.createDataFrame([fixtures.event_bands(spark, d).dims], "bands long, height long, width long, times long")
 
 
 @query(f"WITH {oracle.EVENTS} SELECT y // 4 * 4 AS y0, x // 3 * 3 AS x0, count(*) AS n, count(v) AS n_finite FROM e GROUP BY ALL")
@@ -131,24 +131,32 @@ def scl_mask(spark: SparkSession, d: str) -> DataFrame:
 # Special functions
 
 
-@query(f"SELECT i, {rounded(oracle.normal('(i / 50.0::DOUBLE)'), 9)} AS normal, {rounded(oracle.student('(i / 50.0::DOUBLE)', '(i % 40 + 1)'), 9)} AS student, {rounded(oracle.bridge('(i / 100.0::DOUBLE)'), 9)} AS bridge FROM (SELECT unnest(range(0, 300)) AS i)")
+@query(f"SELECT i, {rounded('log10(' + oracle.normal_tail('(i / 50.0::DOUBLE)') + ')', 7)} AS normal, {rounded('log10(' + oracle.student_tail('(i / 6.0::DOUBLE)', '(i % 40 + 1)') + ')', 7)} AS student, {rounded(oracle.bridge('(i / 200.0::DOUBLE)'), 9)} AS bridge FROM (SELECT unnest(range(0, 601)) AS i)")
 def p_values(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("i") / 50.0
-    return spark.range(300).withColumnRenamed("id", "i").select("i", R(C.normal_two_sided(x), 9).alias("normal"), R(C.student_t_two_sided(x, F.col("i") % 40 + 1), 9).alias("student"), R(C.bridge_p_value(F.col("i") / 100.0), 9).alias("bridge"))
+    """z up to 12 and t up to 100, as logarithms, so that the tails count."""
+    i = F.col("i")
+    return spark.range(601).withColumnRenamed("id", "i").select("i", R(F.log10(C.normal_two_sided(i / 50.0)), 7).alias("normal"), R(F.log10(C.student_t_two_sided(i / 6.0, i % 40 + 1)), 7).alias("student"), R(C.bridge_p_value(i / 200.0), 9).alias("bridge"))
 
 
 # Time
 
 
+#: Quantities by supplier and flag of return, at the days of shipping: several a day.
+_QUANTITIES = f"li AS (SELECT l_suppkey, l_returnflag AS band, l_orderkey * 10 + l_linenumber AS ti, {oracle.year_part('l_shipdate')} - 1995.0::DOUBLE AS t, l_quantity AS v FROM lineitem)"
+
+
 def _composites() -> None:
     for method in ("median", "mean", "min", "max"):
-        for what, window, width in (("same_time", "same_time", None), ("period", 0.01, 0.01)):
-            sql = f"WITH {oracle.EVENTS}, {oracle.composite('e', 'user_id', method, width)} SELECT user_id, {rounded('t', 8)} AS t, {rounded('v')} AS v FROM comp"
+        same = f"WITH {_QUANTITIES}, {oracle.composite('li', 'l_suppkey, band', method, None)} SELECT l_suppkey, band, {rounded('t', 8)} AS t, {rounded('v')} AS v FROM comp"
+        period = f"WITH {oracle.EVENTS}, {oracle.composite('e', 'user_id', method, 0.01)} SELECT user_id, {rounded('t', 8)} AS t, {rounded('v')} AS v FROM comp"
 
-            def run(spark: SparkSession, d: str, method=method, window=window) -> DataFrame:
-                return fixtures.events(spark, d).composite(window, method).long.select("user_id", R("t", 8).alias("t"), R("v").alias("v"))
+        @query(same, f"composite_same_time_{method}")
+        def same_time(spark: SparkSession, d: str, method=method) -> DataFrame:
+            return fixtures.quantities(spark, d).composite("same_time", method).long.select("l_suppkey", "band", R("t", 8).alias("t"), R("v").alias("v"))
 
-            query(sql, f"composite_{what}_{method}")(run)
+        @query(period, f"composite_period_{method}")
+        def run(spark: SparkSession, d: str, method=method) -> DataFrame:
+            return fixtures.events(spark, d).composite(0.01, method).long.select("user_id", R("t", 8).alias("t"), R("v").alias("v"))
 
 
 _composites()
@@ -159,6 +167,17 @@ def composite_monthly(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.months(spark, d).composite("monthly", "median").long.select("l_suppkey", R("t", 8).alias("t"), "v")
 
 
+_MONTHS_FULL = f"WITH {oracle.months()}, full_ AS (SELECT * FROM (SELECT DISTINCT l_suppkey FROM m), (SELECT DISTINCT ti, t FROM m)), holes AS (SELECT l_suppkey, ti, f.t, CASE WHEN ti % 7 <> 3 THEN v END AS v FROM full_ f LEFT JOIN m USING (l_suppkey, ti))"
+
+
+@query(f"{_MONTHS_FULL}, {oracle.gapfill('holes', 'l_suppkey', 0.3)}, {oracle.composite('filled', 'l_suppkey', 'median', 0.25)} SELECT l_suppkey, {rounded('t', 8)} AS t, {rounded('v * 0.73105857::DOUBLE', 4)} AS v FROM comp")
+def packed_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Gap filling and a composite of a dense cube: arrays on the cube's axis. The factor keeps values from lying halfway between two rounded ones."""
+    cube = fixtures.months(spark, d)
+    dense = cube.with_values(F.when(F.col("ti") % 7 != 3, F.col("v"))).dense()
+    return dense.gapfill(0.3).composite(0.25, "median").to_cube().long.select("l_suppkey", R("t", 8).alias("t"), R(F.col("v") * 0.73105857, 4).alias("v"))
+
+
 def _gapfill(name: str, gap: float | None) -> None:
     sql = f"WITH {oracle.EVENTS}, {oracle.gapfill('e', 'user_id', gap)} SELECT user_id, ti, {rounded('v')} AS v FROM filled"
 
@@ -191,10 +210,13 @@ def linear_trend(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.events(spark, d).linear_trend().select("user_id", *(R(c, n).alias(c) for c, n in (("slope", 4), ("intercept", 4), ("r_squared", 6), ("std_err", 4), ("p_value", 6))), "n")
 
 
-@query(f"WITH {oracle.EVENTS}, q AS (SELECT *, y * 100 + x AS k FROM e WHERE band = 'view'), {oracle.ols('q', 'k')} SELECT k, {_FIT}, n FROM fit")
+@query(f"WITH {oracle.EVENTS}, q AS (SELECT *, (y * 100 + x) || band AS k FROM e), {oracle.ols('q', 'k')} SELECT k, {_FIT}, n FROM fit")
 def linear_trend_short_series(spark: SparkSession, d: str) -> DataFrame:
-    fit = fixtures.event_bands(spark, d).linear_trend("view")
-    return fit.select((F.col("y") * 100 + F.col("x")).alias("k"), *(R(c, n).alias(c) for c, n in (("slope", 4), ("intercept", 4), ("r_squared", 6), ("std_err", 4), ("p_value", 6))), "n")
+    """Every band of the events; some series have too few observations."""
+    cube = fixtures.event_bands(spark, d)
+    fits = [cube.linear_trend(b).withColumn("k", F.concat(F.col("y") * 100 + F.col("x"), F.lit(b))) for b in cube.bands]
+    fit = functools.reduce(DataFrame.unionByName, fits)
+    return fit.select("k", *(R(c, n).alias(c) for c, n in (("slope", 4), ("intercept", 4), ("r_squared", 6), ("std_err", 4), ("p_value", 6))), "n")
 
 
 _SEN = f"WITH {oracle.EVENTS}, {oracle.pairs('e', 'user_id')}, {oracle.theil_sen('user_id')} SELECT user_id, {rounded('slope', 4)} AS slope, {rounded('intercept', 4)} AS intercept, n FROM sen"
@@ -243,12 +265,11 @@ def mk_trend_label(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.events(spark, d, fixtures.with_signal()).mann_kendall().select("user_id", "trend")
 
 
-@query(f"WITH li AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS ti, {oracle.year_part('l_shipdate')} - 1995.0::DOUBLE AS t, l_quantity AS v FROM lineitem WHERE l_returnflag = 'R'), {oracle.composite('li', 'k', 'median', None)}, o AS (SELECT k, 0 AS ti, t, v FROM comp), {oracle.pairs('o', 'k')}, {oracle.mann_kendall('k')} SELECT k AS l_suppkey, {_MK_COLUMNS}, n FROM mk")
+@query(f"WITH {_QUANTITIES}, {oracle.composite('li', 'l_suppkey, band', 'median', None)}, o AS (SELECT l_suppkey || band AS k, 0 AS ti, t, v FROM comp), {oracle.pairs('o', 'k')}, {oracle.mann_kendall('k')} SELECT k, {_MK_COLUMNS}, n FROM mk")
 def mann_kendall_ties(spark: SparkSession, d: str) -> DataFrame:
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'R'")
-    own = li.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ti"), (C.fractional_year(F.col("l_shipdate")) - 1995.0).alias("t"), F.col("l_quantity").alias("v"))
-    cube = studies.TCube.from_long(own, bands=["quantity"], keys=("l_suppkey",)).composite("same_time", "median")
-    return cube.mann_kendall().select("l_suppkey", *(R(c).alias(c) for c in ("s", "var_s", "z", "tau", "p_value")), "n")
+    cube = fixtures.quantities(spark, d).composite("same_time", "median")
+    own = [cube.mann_kendall(b).where("n >= 3").withColumn("k", F.concat(F.col("l_suppkey").cast("string"), F.lit(b))) for b in cube.bands]
+    return functools.reduce(DataFrame.unionByName, own).select("k", *(R(c).alias(c) for c in ("s", "var_s", "z", "tau", "p_value")), "n")
 
 
 @query(f"WITH {oracle.EVENTS}, {oracle.pairs('e', 'user_id')}, {oracle.theil_sen('user_id')}, {oracle.mann_kendall('user_id')} SELECT user_id, {rounded('sen.slope', 4)} AS slope, {rounded('mk.p_value')} AS p_value FROM sen FULL JOIN mk USING (user_id)")
@@ -261,11 +282,21 @@ def trend_map_ols(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.events(spark, d).trend_map(method="ols").select("user_id", R("slope", 4).alias("slope"), R("p_value").alias("p_value"))
 
 
-@query(f"WITH {oracle.EVENTS}, {oracle.pairs('e', 'user_id')}, {oracle.theil_sen('user_id')} SELECT user_id, {rounded('slope', 4)} AS slope FROM sen")
+@query(
+    f"WITH {oracle.months()}, q AS (SELECT l_suppkey AS k, ti, t, v FROM m), {oracle.ols('q', 'k')}, {oracle.pairs('q', 'k')}, {oracle.theil_sen('k')}, {oracle.mann_kendall('k')}, {oracle.harmonic('q', 'k', '1.0::DOUBLE', 2)}, {oracle.breaks('q', 'k')}, "
+    f"holes AS (SELECT k, ti, t, CASE WHEN pos % 5 <> 2 THEN v END AS v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, ti) - 1 AS pos FROM q)), {oracle.gapfill('holes', 'k', None)} "
+    f"SELECT k AS l_suppkey, {rounded('fit.slope', 3)} AS ols, {rounded('sen.slope', 3)} AS sen, {rounded('mk.s')} AS s, {rounded('b1', 3)} AS harmonic, {rounded('statistic')} AS statistic, {rounded('sum_', 2)} AS filled, {rounded('sen.slope', 3)} AS map_sen, {rounded('mk.p_value')} AS map_sen_p, {rounded('fit.p_value')} AS map_ols_p "
+    "FROM fit JOIN sen USING (k) JOIN mk USING (k) JOIN har USING (k) JOIN cus USING (k) JOIN (SELECT k, sum(v) AS sum_ FROM filled GROUP BY k) USING (k)"
+)
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """All functions that register() gives to SQL."""
     registry.register(spark)
-    fixtures.events(spark, d).pack(0).createOrReplaceTempView("cubespan_packed")
-    return spark.sql("SELECT user_id, round(theil_sen(ts, vs).slope, 4) + 0.0D AS slope FROM cubespan_packed")
+    fixtures.months(spark, d).pack(0).createOrReplaceTempView("cubespan_packed")
+    return spark.sql("""
+        SELECT l_suppkey, round(linear_trend(ts, vs).slope, 3) + 0.0D AS ols, round(theil_sen(ts, vs).slope, 3) + 0.0D AS sen, round(mann_kendall(ts, vs).s, 6) + 0.0D AS s, round(harmonic_regression(ts, vs).slope, 3) + 0.0D AS harmonic,
+               round(detect_breaks(ts, vs).statistic, 6) + 0.0D AS statistic, round(aggregate(gapfill_linear(ts, holes), 0.0D, (a, x) -> a + coalesce(x, 0.0D)), 2) + 0.0D AS filled,
+               round(trend_map_theil_sen(ts, vs).slope, 3) + 0.0D AS map_sen, round(trend_map_theil_sen(ts, vs).p_value, 6) + 0.0D AS map_sen_p, round(trend_map_ols(ts, vs).p_value, 6) + 0.0D AS map_ols_p
+        FROM (SELECT *, transform(vs, (x, i) -> if(i % 5 <> 2, x, NULL)) AS holes FROM cubespan_packed)""")
 
 
 @query(f"WITH {oracle.EVENTS} SELECT user_id, {rounded('max(v) - min(v)')} AS spread FROM e GROUP BY user_id")
@@ -278,17 +309,16 @@ def map_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _harmonic(name: str, k: int) -> None:
-    cols = ["slope", *(f"{c}{h}" for h in range(1, k + 1) for c in ("cos", "sin", "amplitude"))]
-    sql_cols = [f"{rounded('b1', 3)} AS slope", *(f"{rounded(e, 5)} AS {c}{h}" for h in range(1, k + 1) for c, e in (("cos", f"b{2 * h}"), ("sin", f"b{2 * h + 1}"), ("amplitude", f"sqrt(b{2 * h} * b{2 * h} + b{2 * h + 1} * b{2 * h + 1})")))]
-    sql = f"WITH {oracle.EVENTS}, {oracle.harmonic('e', 'user_id', WEEK_SQL, k)} SELECT user_id, {', '.join(sql_cols)}, n FROM har"
+    """Every number of the fit."""
+    parts = [(f"{c}{h}", n, e) for h in range(1, k + 1) for c, n, e in (("cos", 5, f"b{2 * h}"), ("sin", 5, f"b{2 * h + 1}"), ("amplitude", 5, f"sqrt(b{2 * h} * b{2 * h} + b{2 * h + 1} * b{2 * h + 1})"), ("phase", 5, f"atan2(b{2 * h + 1}, b{2 * h})"))]
+    whole = [("slope", 3, "b1"), ("intercept", 4, "b0 - b1 * centre"), ("r_squared", 6, "CASE WHEN yy = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - sse / yy) END"), ("rmse", 5, "sqrt(sse / n)")]
+    sql = f"WITH {oracle.EVENTS}, {oracle.harmonic('e', 'user_id', WEEK_SQL, k)} SELECT user_id, {', '.join(f'{rounded(e, n)} AS {c}' for c, n, e in whole + parts)}, n FROM har JOIN rest USING (user_id)"
 
     @query(sql, name)
     def run(spark: SparkSession, d: str) -> DataFrame:
         fit = fixtures.events(spark, d).harmonic(0, WEEK, k)
-        part = lambda h, c: F.col("components")[h - 1][{"cos": "cos_coef", "sin": "sin_coef"}.get(c, c)]
-        values = [R("slope", 3).alias("slope"), *(R(part(h, c), 5).alias(f"{c}{h}") for h in range(1, k + 1) for c in ("cos", "sin", "amplitude"))]
-        assert len(values) == len(cols)
-        return fit.where("n IS NOT NULL").select("user_id", *values, "n")
+        part = lambda c: F.col("components")[int(c[-1]) - 1][{"cos": "cos_coef", "sin": "sin_coef"}.get(c[:-1], c[:-1])]
+        return fit.where("n IS NOT NULL").select("user_id", *(R(c, n).alias(c) for c, n, _ in whole), *(R(part(c), n).alias(c) for c, n, _ in parts), "n")
 
 
 _harmonic("harmonic_k1", 1)
@@ -327,9 +357,10 @@ def break_map(spark: SparkSession, d: str) -> DataFrame:
     return m.where("count IS NOT NULL").select("user_id", "count", R("first_break", 9).alias("first_break"))
 
 
-@query()
+@query(f"WITH {oracle.months(True)}, q AS (SELECT l_suppkey AS k, ti, t, v FROM m), {oracle.harmonic_breaks('q', 'k', '1.0::DOUBLE')} SELECT c.k AS l_suppkey, CAST(count(b.idx) AS DOUBLE) AS count, {rounded('min(b.time)', 9)} AS first_break FROM cus c LEFT JOIN brk b ON b.k = c.k GROUP BY c.k")
 def break_map_harmonic(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.months(spark, d, step=True).break_map(0, n_harmonics=1, period=1.0)
+    m = fixtures.months(spark, d, step=True).break_map(0, n_harmonics=1, period=1.0)
+    return m.where("count IS NOT NULL").select("l_suppkey", "count", R("first_break", 9).alias("first_break"))
 
 
 # Studies
@@ -406,7 +437,8 @@ dn AS (SELECT *, CASE WHEN c >= 0 THEN nullif((r * 31 + c * 7 + ti * 13) % 50, 0
 
 @query(f"{_SCENES} SELECT ti, y, x, round(dn * 0.01::DOUBLE - 0.1::DOUBLE, 6) + 0.0::DOUBLE AS v FROM dn")
 def scene_align_nearest(spark: SparkSession, d: str) -> DataFrame:
-    cfg = scenes.StackConfig(["red"], max_cloud_cover=50.0, scale=0.01, offset=-0.1)
+    # The fifth scene is cut by number, not by its clouds.
+    cfg = scenes.StackConfig(["red"], max_items=4, scale=0.01, offset=-0.1)
     return scenes.stack(*_scenes(spark), cfg).cube.long.select("ti", "y", "x", R("v").alias("v"))
 
 
@@ -415,18 +447,20 @@ def stack_skipped(spark: SparkSession, d: str) -> DataFrame:
     return scenes.stack(*_scenes(spark), scenes.StackConfig(["red"], max_cloud_cover=50.0)).skipped
 
 
-@query()
+@query(f"WITH s AS (SELECT s_suppkey, CAST(400000 + s_suppkey % 997 * 200 AS DOUBLE) AS x, CAST(6200000 + s_suppkey % 991 * 500 AS DOUBLE) AS y FROM supplier), {oracle.utm('s', 's_suppkey', 32719, 32718)} SELECT s_suppkey, {rounded('x', 3)} AS x, {rounded('y', 3)} AS y FROM moved")
 def utm_reproject(spark: SparkSession, d: str) -> DataFrame:
     s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.lit(400000.0) + F.col("s_suppkey") % 997 * 200).alias("x"), (F.lit(6200000.0) + F.col("s_suppkey") % 991 * 500).alias("y"))
     moved = utm.reproject(s.withColumns({"from": F.lit(32719), "to": F.lit(32718)}), "x", "y", "from", "to")
     return moved.select("s_suppkey", R("x", 3).alias("x"), R("y", 3).alias("y"))
 
 
-@query()
+@query(f"WITH {oracle.EVENTS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, ti) - 1 AS ti, {rounded('t', 9)} AS t, v FROM e")
 def csv_series(spark: SparkSession, d: str) -> DataFrame:
-    from cubespan.sources import series
-
-    root = f"{d}/region.parquet"
-    # Text is made of a table, so the parser's rules run on the cluster as they do for files.
-    lines = spark.read.parquet(root).select(F.col("r_regionkey").cast("long").alias("file"), F.concat_ws("\n", F.lit("t,v"), F.lit("0,1.5"), F.lit(""), F.lit("1,NA"), F.concat(F.lit("2,"), "r_regionkey")).alias("value"))
-    return series.parsed(lines)
+    """A CSV file for each user, with a header, padding, CRLF, blank lines and NA, is written to the shared folder and read."""
+    path = folders.new_path(spark, "csv-series")
+    e = fixtures.events(spark, d).long
+    line = F.concat(F.lit("\t"), F.col("t").cast("string"), F.lit(" ,\t"), F.coalesce(F.col("v").cast("string"), F.lit("NA")), F.lit(" \r\n"))
+    lines = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "ti", line.alias("line")))).alias("p"))
+    lines.select("user_id", F.concat(F.lit("t,v\r\n \r\n"), F.array_join("p.line", "")).alias("value")).write.partitionBy("user_id").text(path)
+    read = series.read_series_csv(spark, f"{path}/*/*.txt")
+    return read.select(F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id"), F.col("ti").cast("long").alias("ti"), R("t", 9).alias("t"), "v")

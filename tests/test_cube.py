@@ -205,3 +205,43 @@ def test_utm(spark):
     assert (back[2].x, back[2].y) == pytest.approx((500000, 0), abs=1e-6) and back[1].y == pytest.approx(5316300, abs=2000)
     twice = utm.reproject(utm.reproject(there.withColumn("other", F.lit(32718)), "x", "y", "zone", "other"), "x", "y", "other", "zone").collect()
     assert (twice[0].x, twice[0].y) == pytest.approx((back[0].x, back[0].y), abs=1e-3)
+
+
+def test_tails_of_p_values(spark):
+    """Relative accuracy far out: against the complementary error function and the incomplete beta function."""
+    z = [k / 8 for k in range(0, 12 * 8 + 1)]
+    df = spark.createDataFrame([(x,) for x in z], "z double")
+    for r in df.select("z", C.normal_two_sided(F.col("z")).alias("p")).collect():
+        assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-12)
+    grid = [(t, d) for t in [0.0, 0.001, 0.3, 1.0, 1.7, 1.74, 3.0, 9.0, 40.0, 80.0, 100.0] for d in (1, 2, 3, 4, 5, 10, 30, 99, 1000, 100_000)]
+    for r in spark.createDataFrame(grid, "t double, d int").select("t", "d", C.student_t_two_sided(-F.col("t"), F.col("d")).alias("p")).collect():
+        assert r.p == pytest.approx(kernels.student_t_two_sided(r.t, r.d), rel=1e-9 if r.d < 1000 else 1e-7) and 0 <= r.p <= 1
+    odd = spark.createDataFrame([(None,), (math.inf,)], "x double").select(C.normal_two_sided(F.col("x")).alias("n"), C.student_t_two_sided(F.col("x"), F.lit(5)).alias("s")).collect()
+    assert [tuple(r) for r in odd] == [(None, None), (0.0, 0.0)]
+
+
+def test_packed_cube_is_the_cube(spark):
+    r = np.random.default_rng(12)
+    data = np.round(r.normal(0, 3, (2, 4, 5, 31)), 1)
+    data[r.random(data.shape) < 0.4] = NAN
+    data[1, 2, 2] = NAN
+    t = np.sort(np.round(2020 + r.random(31) * 2, 2))
+    t[5], t[6] = t[4], t[4]
+    cube = TCube.from_numpy(spark, data, t, ["a", "b"])
+    assert np.array_equal(cube.dense().to_cube().to_numpy(), data, equal_nan=True)
+    full = cube.densify()
+    assert full.long.count() == data.size and full.long.schema["ti"].dataType == cube.long.schema["ti"].dataType
+    for method in ("median", "mean", "min", "max"):
+        for window in ("same_time", "monthly", 0.3):
+            want = cube.composite(window, method, dense=True)
+            got = cube.dense().composite(window, method).to_cube()
+            assert got.time == pytest.approx(want.time, rel=1e-12)
+            assert got.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-12, nan_ok=True)
+    for gap in (None, 0.1):
+        assert cube.dense().gapfill(gap).to_cube().to_numpy() == pytest.approx(cube.gapfill(gap).to_numpy(), rel=1e-12, nan_ok=True)
+        assert cube.dense().gapfill(gap).to_cube().to_numpy()[0, 1, 1] == pytest.approx(kernels.gapfill(t, data[0, 1, 1], gap), rel=1e-12, nan_ok=True)
+    for method in ("theil_sen", "ols"):
+        assert rows(cube.dense().trend_map("b", method).dropna(), "y", "x", "slope") == [pytest.approx(x) for x in rows(cube.trend_map("b", method, origin=2020).dropna(), "y", "x", "slope")]
+    assert rows(cube.dense().break_map(1), "y", "x", "count") == rows(cube.break_map(1), "y", "x", "count")
+    with pytest.raises(errors.BandOutOfRange):
+        cube.dense().trend_map("c")

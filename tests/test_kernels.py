@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cubespan import errors
-from cubespan.functions import kernels as K
+from cubespan.functions import batches, kernels as K
 
 NAN = math.nan
 
@@ -132,3 +132,25 @@ def test_gapfill():
     assert got[2] == 3 and np.isnan(got[[0, 4, 5, 7]]).all()
     with pytest.raises(errors.DimensionMismatch):
         K.gapfill([0, 2, 1], [1, 2, 3])
+
+
+def slopes_by_pairs(t, v):
+    i, j = np.triu_indices(len(t), 1)
+    use = t[i] != t[j]
+    return np.median((v[j] - v[i])[use] / (t[j] - t[i])[use])
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "equal times", "constant", "two values"])
+def test_long_series(kind, monkeypatch):
+    """Counting gives what all pairs give: small series with little room for pairs, and 20,000 observations."""
+    r = np.random.default_rng(11)
+    for n, room in ((7, 3), (50, 20), (400, 500), (20_000, 1 << 20)):
+        monkeypatch.setattr(K, "PAIR_BLOCK", room)
+        t = np.sort(r.integers(0, n // 2, n)).astype(float) if kind == "equal times" else 2000 + np.arange(n) / 365
+        v = {"constant": np.full(n, 3.5), "two values": r.integers(0, 2, n).astype(float), "ties": np.round(r.normal(0, 2, n) + 0.01 * t)}.get(kind, r.normal(0, 1, n) + 0.1 * t)
+        assert K.theil_sen(t, v).slope == pytest.approx(slopes_by_pairs(t, v), rel=1e-9, abs=1e-12)
+        s = sum(int(np.sign(v[k + 1 :] - v[k]).sum()) for k in range(n - 1))
+        assert K.mann_kendall(v).s == s
+        if n == 20_000:
+            assert batches.mann_kendall(v[None])["s"][0] == s
+            assert batches.theil_sen(t[None], v[None])["slope"][0] == K.theil_sen(t, v).slope
