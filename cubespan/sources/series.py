@@ -52,7 +52,7 @@ def _value(field: Column) -> Column:
 
 
 def read_series_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ti, t, v) of all CSV files of path, one series each, with the rules of parse_series(). Bad lines fail when they are read."""
+    """(file, ti, t, v) of all CSV files of path, one series each, with the rules of parse_series(). Bad lines and files without data fail when they are read; Spark leaves out files of no bytes, so these give no series."""
     return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
 
 

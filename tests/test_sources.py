@@ -33,7 +33,7 @@ def test_csv_on_spark_agrees(spark, tmp_path, text):
     assert [g[1] for g in got] == t and all(a == b or (a is None and math.isnan(b)) for (_, _, a), b in zip(got, v))
 
 
-@pytest.mark.parametrize(("text", "message"), [("1,2,3", "3 columns in line 1"), ("0,1\nx,2", "time 'x' in line 2"), ("", "no line of data"), ("\n \n", "no line of data"), ("head", "no line of data")])
+@pytest.mark.parametrize(("text", "message"), [("1,2,3", "3 columns in line 1"), ("0,1\nx,2", "time 'x' in line 2"), ("\n \n", "no line of data"), ("head", "no line of data")])
 def test_bad_csv_on_spark(spark, tmp_path, text, message):
     (tmp_path / "a.csv").write_text(text)
     with pytest.raises(Exception, match=message):
@@ -145,7 +145,7 @@ def test_stack(spark):
     for cfg in (scenes.StackConfig([]), scenes.StackConfig(["b"], bbox=[1, 0, 0, 1]), scenes.StackConfig(["b"], datetime=" ")):
         with pytest.raises(errors.ConfigError):
             cfg.validate()
-    with pytest.raises(errors.EmptyStack, match="asset 'x' not found"):
+    with pytest.raises(errors.EmptyStack, match="asset 'x' is missing"):
         scenes.stack(*scene(spark), scenes.StackConfig(["x"]))
 
 
