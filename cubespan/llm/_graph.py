@@ -6,18 +6,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespan.llm._shared import table
+from cubespan.llm._shared import remove, table
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that is reachable, for every node with an edge to another one.
 
     Large-star and small-star steps alternate until nothing changes; that takes about the logarithm of the
-    longest path. Each round is written to the shared folder. Minima are partly aggregated before they are
+    longest path. Each round is written to the shared folder, and the one before it is deleted. Minima are partly aggregated before they are
     dealt, and joins can be split where a node has very many edges.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    state = None
+    state = last = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,6 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = table(small.where("u <> v").distinct(), "components")
+        if last is not None:
+            remove(last)
+        last = now
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             break

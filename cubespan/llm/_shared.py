@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,28 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubespan.sources.folders import new_path
+
 U64 = np.uint64
 #: Bytes of text in a block of documents, and about as much in a bucket of hashes.
 BLOCK_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset a local session gets one of its own; on a cluster it is an error, as executors don't share local folders."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="cubespan-")
-        spark.sparkContext.setCheckpointDir(known)
-        known = spark.sparkContext.getCheckpointDir() or known
-    return known.rstrip("/")
-
-
 def table(df: DataFrame, what: str, **options: str) -> DataFrame:
     """df, written to the shared folder and read again, so that nothing before it is ever run again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.options(**options).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cubespan_path = path
@@ -83,7 +70,8 @@ def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
 def with_block(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(blk, doc_id, text): rows are dealt by id and text, so neither one id nor one text can fill a block alone.
 
-    Rows that are equal in both stay together; they are the same document twice.
+    Rows that are equal in both stay together; they are the same document twice. Callers deal blk over n tasks, so
+    that a task has a block or a few whatever the size of the input.
     """
     row, body = F.col(doc_id).cast("long"), F.col(text).cast("string")
     return docs.select(F.pmod(F.xxhash64(row, body), F.lit(n)).cast("int").alias("blk"), row.alias("doc_id"), body.alias("text"))

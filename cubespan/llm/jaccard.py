@@ -8,16 +8,19 @@ the intersection is percent hundredths of the size of the union or more.
 2. Shingles are ordered by how many documents have them, rarest first; the counts are exact and cover all
    documents. Two linked documents share a shingle of their prefixes, that is of the first
    size - ceil(size * percent / 100) + 1. Only shingles that two documents have can be shared.
-3. Documents with identical prefixes and sizes collapse into one group. Groups that share a prefix shingle
-   and whose sizes allow a link become neighbours; instead of all pairs a chain through the groups of a
-   shingle, in the order of sizes, is kept, and it is cut where two sizes are too far apart.
-4. The chains' connected components are expanded to their members, which are verified exactly by their sets,
-   skipping pairs that are connected already. A large component is cut into parts; each pair of parts
-   is a task. A link is never lost, as linked documents always lie in one component.
+3. Documents with identical prefixes and sizes collapse into one group. Pairs of groups that share a prefix
+   shingle are filtered by their sizes and by what can still be shared after the shingle's places in both
+   prefixes. Where more than SHORT groups have a shingle their pairs aren't made: a chain through them in the
+   order of sizes, cut where two sizes are too far apart, joins them instead, which loses no pair.
+4. Connected groups are expanded to their members, which are verified exactly by their sets, skipping pairs that
+   are connected already. A large component is cut into parts: each part is compared within itself and with
+   the first part; if that doesn't connect all of it, what lies outside the largest connected piece is compared
+   with everything. So a great group of near copies costs as many tasks as it has parts. A link is never lost.
 5. The verified links' connected components are the classes.
 
 Null text is empty. A null id compares as the largest id and is reported as null. Repeated rows are one
 document, reported as often as they occur; rows with one id and different texts are different documents.
+deduplicate() passes columns through whatever their names; of rows that agree in id and text it keeps one.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cubespan.llm import _shared, _text
 from cubespan.llm._graph import components, forest
-from cubespan.llm._shared import pack, pack_sorted, table, unpack, unpack_sorted
+from cubespan.llm._shared import look_up, pack, pack_sorted, remove, table, unpack, unpack_sorted
 
 U64 = np.uint64
 ASK_SCHEMA = "bucket int, blk int, asked binary"
@@ -40,6 +43,8 @@ TOLD_SCHEMA = "blk int, bucket int, told binary"
 SETS_SCHEMA = "node long, size long, gid long, prefix binary, members binary"
 #: Shingles that a verifying task holds of one part.
 PART_ITEMS = 1 << 18
+#: Groups that share a shingle of which all pairs are looked at.
+SHORT = 64
 
 
 def shingle_sets(column, n: int) -> list[np.ndarray]:
@@ -63,8 +68,8 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def verified(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows) that connect whatever is connected among the sets; with side only pairs of different sides are compared. Pairs that are connected already aren't compared."""
+def verified(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows) that connect whatever is connected among the sets; with side only pairs of different sides are compared. Pairs that are connected already, as rows with one number in known are, aren't compared."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
@@ -72,7 +77,8 @@ def verified(sets: list[np.ndarray], percent: int, side: np.ndarray | None = Non
     _, items = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
     off = np.concatenate([[0], np.cumsum(size)])
     owner_side = None if side is None else side[order]
-    label, mark = np.arange(n), np.zeros(int(items.max()) + 1 if len(items) else 1, bool)
+    label = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1][order]
+    mark = np.zeros(int(items.max()) + 1 if len(items) else 1, bool)
     a, b = [], []
     # Sizes ascend, so a row's partners below end where sizes are too small, and those above are met from their own side.
     low = np.searchsorted(size * 100, size * percent)
@@ -118,12 +124,15 @@ def _members(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, bloc
         raise ValueError("percent must lie between 1 and 100")
     buckets = _shared.block_count(docs, text, block_bytes)
     whole = _shared.with_block(docs, doc_id, text, buckets).withColumn("node", _node("doc_id", "text"))
-    rows = whole.select("blk", "node", "text")
+    rows = whole.select("blk", "node", "text").repartition(buckets, "blk")
     # One text stands for all that equal it: the one of the smallest id.
     keyed = whole.select("blk", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "node", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
     keyed = table(keyed, "jaccard-ids")
-    first = keyed.groupBy("h").agg(F.min(F.struct("doc_id", "node")).alias("m"))
-    known = table(keyed.join(first, "h").select("blk", "doc_id", "node", F.col("m.node").alias("rep"), F.col("m.doc_id").alias("rep_id")), "jaccard-copies")
+    total = keyed.count()
+    first = keyed.groupBy("h").agg(F.min(F.struct("doc_id", "node")).alias("m"), F.count(F.lit(1)).alias("__n"))
+    first = table(first.select("h", F.col("m.node").alias("rep"), F.col("m.doc_id").alias("rep_id"), "__n"), "jaccard-texts")
+    known = table(look_up(keyed, first.drop("rep_id"), "h", total).drop("h"), "jaccard-copies")
+    remove(keyed)
     copies = known.where("node <> rep").groupBy("blk", F.pmod("node", F.lit(64)).alias("s")).agg(F.collect_set("node").alias("ids"))
     copies = copies.select("blk", F.lit(-1).alias("bucket"), "ids", F.lit(None).cast("binary").alias("told"))
 
@@ -169,87 +178,131 @@ def _members(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, bloc
                 continue
             whole = np.sort(s[chosen])
             gid = int(_text.mix(np.array([_text.windows(whole, len(whole))[0] + U64(len(s))], U64)).view(np.int64)[0])
-            out.append((i, len(s), gid, pack_sorted(np.sort(s[common])), pack_sorted(s)))
+            # Each shared shingle of the prefix, with its place in the document's order.
+            place = np.flatnonzero(count[chosen] > 1)
+            by_hash = np.argsort(s[common])
+            out.append((i, len(s), gid, pack_sorted(s[common][by_hash], place[by_hash]), pack_sorted(s)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         columns = zip(*out, strict=True) if out else [[]] * 5
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["node", "size", "gid", "prefix", "members"])
 
-    asked = rows.groupBy("blk").cogroup(copies.groupBy("blk")).applyInArrow(ask, ASK_SCHEMA)
-    told = asked.groupBy("bucket").applyInArrow(tell, TOLD_SCHEMA)
-    more = copies.unionByName(told.select("blk", "bucket", F.lit(None).cast("array<long>").alias("ids"), "told"))
+    asked = rows.groupBy("blk").cogroup(copies.repartition(buckets, "blk").groupBy("blk")).applyInArrow(ask, ASK_SCHEMA)
+    told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tell, TOLD_SCHEMA)
+    more = copies.unionByName(told.select("blk", "bucket", F.lit(None).cast("array<long>").alias("ids"), "told")).repartition(buckets, "blk")
     sets = table(rows.groupBy("blk").cogroup(more.groupBy("blk")).applyInArrow(prefixes, SETS_SCHEMA), "jaccard-sets")
 
     links = components(_candidate_edges(sets, percent, buckets))
     group = F.coalesce("component", "gid")
     found = sets.where("gid IS NOT NULL").join(links.withColumnRenamed("node", "linked"), F.col("gid") == F.col("linked"), "left").select("node", "size", group.alias("cluster"), "members")
-    edges = _verified_edges(table(found, "jaccard-clusters"), percent, part_items)
-    joined = table(components(edges), "jaccard-classes").select(F.col("node").alias("rep"), "component")
-    smallest = known.select("rep", "rep_id").distinct().join(joined, "rep").groupBy("component").agg(F.min(F.struct("rep_id", "rep")).alias("m"))
-    out = known.join(sets.select(F.col("node").alias("rep"), F.col("size").alias("n_shingles")), "rep").join(joined, "rep", "left").join(smallest, "component", "left")
+    found = table(found, "jaccard-clusters")
+    joined = table(components(_verified_edges(found, percent, part_items)), "jaccard-classes").select(F.col("node").alias("rep"), "component")
+    remove(found)
+    # A row for each text, then for each document; one text or class can have a large share of them.
+    own = first.drop("h").join(sets.select(F.col("node").alias("rep"), F.col("size").alias("n_shingles")), "rep").join(joined, "rep", "left")
+    smallest = own.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("rep_id", "rep")).alias("m"), F.count(F.lit(1)).alias("__n"))
+    own = table(look_up(own, smallest, "component", first.count(), "left").drop("component"), "jaccard-members")
+    out = look_up(known, own, "rep", total)
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("m.rep_id", "rep_id"))
     chosen = F.when(alone, F.col("node")).otherwise(F.coalesce("m.rep", "rep"))
     return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), chosen.alias("chosen"))
 
 
+def neighbours(keys: np.ndarray, size: np.ndarray, gid: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between groups that can have linked members, of entries (shingle, size, group, place in the prefix)."""
+    order = np.lexsort((gid, size, keys))
+    keys, size, gid, left = keys[order], size[order], gid[order], (size - place)[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    many = np.diff(np.append(first, len(keys)))
+    long = np.repeat(many > SHORT, many)
+    close = lambda d: (keys[d:] == keys[:-d]) & (100 * size[:-d] >= percent * size[d:]) & (gid[d:] != gid[:-d])
+    at = np.flatnonzero(close(1) & long[1:])
+    a, b = [gid[at]], [gid[at + 1]]
+    for d in range(1, int(many[many <= SHORT].max(initial=1))):
+        # What two groups share from here on must do for a link; earlier shingles that they share have lists of their own.
+        at = np.flatnonzero(close(d) & ~long[d:] & ((100 + percent) * np.minimum(left[:-d], left[d:]) >= percent * (size[:-d] + size[d:])))
+        a.append(gid[at])
+        b.append(gid[at + d])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(a, b): a spanning forest, for each bucket of shingles, of the chains through the groups that share a prefix shingle."""
+    """(a, b): a spanning forest, for each bucket of shingles, of the neighbours among its groups."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [unpack_sorted(x)[0] for x in b.column(2).to_pylist()]
+            lists = [unpack_sorted(x) for x in b.column(2).to_pylist()]
             if not lists:
                 continue
-            n = [len(x) for x in lists]
-            keys = np.concatenate(lists)
+            n = [len(x[0]) for x in lists]
+            keys, place = (np.concatenate(c) for c in zip(*lists, strict=True))
             size, gid = (np.repeat(b.column(k).to_numpy(), n) for k in (1, 0))
             order = np.argsort(keys)
-            keys, size, gid = keys[order], size[order], gid[order]
+            keys, size, gid, place = keys[order], size[order], gid[order], place[order]
             cuts = _shared.bucket_cuts(keys, buckets)
             used = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            packed = [pack(*(c[cuts[k] : cuts[k + 1]] for c in (keys, size, gid))) for k in used]
+            packed = [pack(*(c[cuts[k] : cuts[k + 1]] for c in (keys, size, gid, place))) for k in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "entries"])
 
-    def chain(key: tuple, part: pa.Table) -> pa.Table:
-        keys, size, gid = (np.concatenate(c) for c in zip(*map(unpack, part["entries"].to_pylist()), strict=True))
-        size, gid = size.view(np.int64), gid.view(np.int64)
-        order = np.lexsort((gid, size, keys))
-        keys, size, gid = keys[order], size[order], gid[order]
-        near = np.flatnonzero((keys[1:] == keys[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (gid[1:] != gid[:-1]))
-        a, b = forest(gid[near], gid[near + 1])
+    def join(key: tuple, part: pa.Table) -> pa.Table:
+        keys, *rest = (np.concatenate(c) for c in zip(*map(unpack, part["entries"].to_pylist()), strict=True))
+        a, b = forest(*neighbours(keys, *(c.view(np.int64) for c in rest), percent))
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
     groups = sets.where("gid IS NOT NULL").groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    return groups.mapInArrow(deal, "bucket int, entries binary").groupBy("bucket").applyInArrow(chain, "a long, b long")
+    return groups.mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
-def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFrame:
-    """(a, b): links between documents that connect whatever is connected. found: (node, size, cluster, members)."""
-    total = found.agg(F.sum("size")).first()[0] or 0
-    tasks = max(4 * math.ceil(total / part_items), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items")).where("n > 1")
-    parts = sizes.select("cluster", F.ceil(F.col("items") / part_items).cast("int").alias("parts"))
-    own = found.join(parts, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = own.withColumn("other", other).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "members")
-    met = met.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)).cast("int"))
+def _compared(met: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(a, b) for (cluster, i, j, side, known, node, members): the rows of one (cluster, i, j) are compared, sides i and j with each other if they differ."""
 
     def verify(key: tuple, part: pa.Table) -> pa.Table:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         part = part.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending")])
         keys = np.stack([part[c].to_numpy().astype(np.int64) for c in ("cluster", "i", "j")])
         cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        ids, mine, raw = part["node"].to_numpy(), part["mine"].to_numpy(), part["members"]
+        ids, side, known, raw = part["node"].to_numpy(), part["side"].to_numpy(), part["known"].to_numpy(), part["members"]
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), part.num_rows], strict=True):
             if hi - lo > 1:
                 sets = [unpack_sorted(x)[0] for x in raw.slice(lo, hi - lo).to_pylist()]
                 cross = keys[1, lo] != keys[2, lo]
-                x, y = verified(sets, percent, mine[lo:hi] if cross else None)
+                x, y = verified(sets, percent, side[lo:hi] if cross else None, known[lo:hi])
                 a.append(ids[lo:hi][x])
                 b.append(ids[lo:hi][y])
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return met.groupBy("task").applyInArrow(verify, "a long, b long")
+    task = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(tasks)).cast("int")
+    return met.withColumn("task", task).repartition(tasks, "task").groupBy("task").applyInArrow(verify, "a long, b long")
+
+
+def _verified_edges(found: DataFrame, percent: int, part_items: int) -> DataFrame:
+    """(a, b): links between documents that connect whatever is connected. found: (node, size, cluster, members)."""
+    every, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(4 * math.ceil(total / part_items), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("items")).where("__n > 1")
+    sizes = table(sizes.select("cluster", "__n", F.ceil(F.col("items") / part_items).cast("int").alias("parts")), "jaccard-parts")
+    own = look_up(found, sizes, "cluster", every).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # Within each part, and each part with the first one.
+    other = F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0), F.col("side"))))
+    met = own.withColumn("other", other).select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.col("node").alias("known"), "node", "members")
+    edges = table(_compared(met, percent, tasks), "jaccard-edges")
+    if sizes.where("parts > 2").isEmpty():
+        return edges
+    # Parts that haven't met: all that isn't in the largest connected piece of its component meets everything.
+    big = own.where("parts > 2")
+    pieces = components(edges.join(big.select(F.col("node").alias("a")), "a", "left_semi"))
+    big = big.join(pieces.withColumnRenamed("component", "piece"), "node", "left").withColumn("known", F.coalesce("piece", "node")).drop("piece")
+    big = table(big, "jaccard-big")
+    of_piece = big.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"))
+    rest = of_piece.groupBy("cluster").agg(F.sum("n").alias("__n"), F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("items").alias("all_"), F.max(F.struct("n", "known", "items")).alias("top"))
+    rest = rest.select("cluster", "__n", "main", F.ceil((F.col("all_") - F.col("top.items")) / part_items).cast("int").alias("odd")).where("odd > 0")
+    big = look_up(big, table(rest, "jaccard-rest"), "cluster", every)
+    here = F.pmod(F.xxhash64("node"), F.col("odd")).cast("int")
+    odd = big.where("known <> main").select("cluster", here.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), F.lit(-1).alias("side"), "known", "node", "members")
+    all_ = big.select("cluster", F.explode(F.sequence(F.lit(0), F.col("odd") - 1)).alias("i"), F.col("side").alias("k"), "side", "known", "node", "members")
+    # j is never i, so that the sides meet and each isn't compared within itself.
+    met = odd.unionByName(all_).select("cluster", "i", (-1 - F.col("k")).alias("j"), "side", "known", "node", "members")
+    return edges.unionByName(_compared(met, percent, tasks))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_shared.shared_folder(spark)}/token-file-{_shared.uuid.uuid4().hex}"
+    path = _shared.new_path(spark, "token-file")
     token_file.write(_documents(spark, sf_dir), path, tokenizer_path(), end_id=2)
     return token_file.digest(spark, path)
 

@@ -101,6 +101,55 @@ def test_lm_scores_are_probabilities_of_the_mixture(spark):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+@pytest.mark.parametrize("block_bytes", [3000, 1 << 23])
+def test_lm_score_by_plain_python(docs, rows, block_bytes):
+    """Counts in dictionaries, weights by expectation-maximisation token by token, on the ratios' bins."""
+    tokens = [["<s>", *WORD.findall(lowered(t)), "</s>"] for _, t, *_ in rows]
+    folds = [zlib.crc32(str(i).encode()) for i, *_ in rows]
+    role = [2 if f % 5 == 1 else 1 if f // 5 % 8 == 0 else 0 for f in folds]
+
+    def counts(roles):
+        own = [t for t, r in zip(tokens, role) if r in roles]
+        uni, bi = Counter(w for t in own for w in t[1:]), Counter(p for t in own for p in zip(t, t[1:]))
+        return uni, bi, sum(uni.values())
+
+    uni, bi, total = counts((0, 1))
+    core_uni, core_bi, core_total = counts((0,))
+    types = len(uni)
+    before = lambda c, w: c["</s>" if w == "<s>" else w]
+    level = lambda c: int(math.log2(c)) + 1 if c else 0
+    binned = lambda x: 2 ** (round(4 * math.log2(x)) / 4) if x else 0.0
+    held = defaultdict(list)
+    for t, r in zip(tokens, role):
+        for v, w in zip(t, t[1:]) if r == 1 else ():
+            c = before(core_uni, v)
+            held[level(c)].append((binned(core_bi[v, w] / c) if c else 0.0, binned(core_uni[w]) / core_total, 1 / (types + 1)))
+    start = (0.5, 0.4, 0.1)
+    weights = defaultdict(lambda: start)
+    for k, own in held.items():
+        lam = start
+        for _ in range(60):
+            got = list(start)
+            for p in own:
+                whole = sum(a * b for a, b in zip(lam, p))
+                for i in range(3):
+                    got[i] += lam[i] * p[i] / whole
+            lam = tuple(g / sum(got) for g in got)
+        weights[k] = lam
+    weights[0] = (0.0, weights[0][0] + weights[0][1], weights[0][2])
+    want = []
+    for (i, *_), t in zip(rows, tokens):
+        s = 0.0
+        for v, w in zip(t, t[1:]):
+            c = before(uni, v)
+            lam = weights[level(c)]
+            s += math.log10((lam[0] * bi[v, w] / c if c else 0.0) + lam[1] * uni[w] / total + lam[2] / (types + 1))
+        want.append((i, s))
+    got = sorted((r.doc_id, r.score) for r in lm.score(docs, block_bytes=block_bytes).collect())
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], rel=1e-9)
+
+
 def test_lm_weights_follow_the_counts():
     key = np.array([(3 << 32) | (4096 + 40 << 16) | 4096 + 4, (4 << 32) | (0 << 16) | 4096 + 20])
     w = lm.learn(key, np.array([1000, 1000]))
@@ -261,6 +310,56 @@ def test_jaccard_of_null_and_repeated_ids(spark):
     assert kept == Counter([rows[7], rows[8], rows[3], rows[9], rows[4], rows[5]])
 
 
+@pytest.mark.parametrize(("part_items", "short"), [(1 << 20, 64), (150, 64), (150, 3)])
+def test_jaccard_of_large_components(spark, part_items, short, monkeypatch):
+    """Many near copies of two texts, some loosely joined, in components that are cut into many parts; shingles with long lists."""
+    import random
+
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    bases = [[r.choice(vocabulary) for _ in range(60)] for _ in range(2)]
+    texts = []
+    for k in range(60):
+        w = list(bases[k % 2])
+        for _ in range(r.choice([0, 1, 1, 2, 4, 6])):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        texts.append(" ".join(w[: r.choice([60, 58, 50])]))
+    rows = [(i, t) for i, t in enumerate(texts + texts[:20])]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2, 70, block_bytes=3000, part_items=part_items).collect()
+    assert {tuple(x) for x in got} == classes_by_pairs(rows, 2, 70)
+
+
+def test_neighbours_hold_every_link():
+    """Filtered pairs and chains connect whatever is linked."""
+    r = np.random.default_rng(13)
+    for percent in (50, 80, 95):
+        base = np.arange(40)
+        sets = [np.unique(np.concatenate([r.permutation(base)[: r.integers(20, 40)], r.integers(40, 90, r.integers(0, 8))])) for _ in range(40)]
+        count = Counter(x for s in sets for x in s.tolist())
+        entries = []
+        for g, s in enumerate(sets):
+            ordered = sorted(s.tolist(), key=lambda x: (count[x], x))
+            entries += [(x, len(s), g, k) for k, x in enumerate(ordered[: jaccard.prefix_length(len(s), percent)]) if count[x] > 1]
+        columns = [np.array(c, np.int64) for c in zip(*entries)]
+        a, b = jaccard.neighbours(columns[0].astype(np.uint64), *columns[1:], percent)
+        label = list(range(40))
+        for x, y in zip(a.tolist(), b.tolist()):
+            label = [label[x] if z == label[y] else z for z in label]
+        for i, j in itertools.combinations(range(40), 2):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                assert label[i] == label[j]
+
+
+def test_look_up_of_hot_keys(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1000, k) for k in range(300)] + [(None, 1)], "key long, v long")
+    small = rows.groupBy("key").count().withColumnRenamed("count", "__n").selectExpr("key", "__n", "key * 2 AS two").where("key <> 3")
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, rows.join(small.drop("__n"), "key", how).select("key", "v", "two").collect()))
+        assert Counter(map(tuple, _shared.look_up(rows, small, "key", 301, how).select("key", "v", "two").collect())) == want
+
+
 def test_verified_cross_parts():
     r = np.random.default_rng(6)
     base = np.unique(r.integers(0, 10_000, 200).astype(np.uint64))
