@@ -8,8 +8,9 @@ training documents.
 
 Documents are dealt into blocks. A block asks for the global counts of its distinct n-grams, sorted and
 pre-aggregated, from buckets of the hash range; each bucket sums what all blocks sent and answers in their
-order. So a frequent n-gram costs one entry a block, and blocks and buckets grow in number with the input.
-What reaches the driver is a histogram of log ratios, whose size has a fixed bound.
+order. So a frequent n-gram costs one entry a block, and blocks and buckets grow in number with the input; a
+block asks only buckets that its n-grams fall into, so it never sends more messages than it has n-grams.
+What reaches the driver is three totals and a histogram of log ratios, whose size has a fixed bound.
 
 Null text is empty: it has the end token. A null id counts as the empty text for the fold. Repeated rows are
 documents of their own. Without training documents every score is 0.
@@ -34,8 +35,9 @@ END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 PAIR_BITS = U64(0xFFFFFFFFFFFFFF00)
 BUCKETS = 40
 ASK_SCHEMA = "bucket int, blk int, uni binary, bi binary"
-TOLD_SCHEMA = "blk int, bucket int, uni binary, bi binary, n long, n_core long, v long"
-COUNTED_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, types long, base_score double, uni binary, bi binary, histogram binary"
+TOLD_SCHEMA = "blk int, bucket int, uni binary, bi binary, v long"
+#: n, n_core and v are a block's part of the totals, on its first row: training tokens, those without the ones held out for the weights, distinct tokens.
+COUNTED_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, uni binary, bi binary, histogram binary, n long, n_core long, v long"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Ratios are binned in 2**(1/STEPS) for learning the weights.
 STEPS = 4
@@ -76,23 +78,23 @@ class _Block:
         self.before[self.first[:-1]] = np.searchsorted(self.uni, END)
 
 
-def _ratio_bins(block: _Block, uni: np.ndarray, bi: np.ndarray, total: int, types: int) -> bytes:
-    """Counts of (bucket, bin of bigram ratio, bin of unigram ratio, how often) over the tokens held out for the weights; bin 0 is a ratio of 0."""
+def _ratio_bins(block: _Block, uni: np.ndarray, bi: np.ndarray) -> bytes:
+    """Counts of (bucket, bin of c(v w) / c(v), bin of c(w), how often) over the tokens held out for the weights; bin 0 is a count of 0."""
     at = np.repeat(block.role == 1, block.n)
     c, w, b = uni[block.before[at]].astype(np.float64), uni[block.uni_back[at]].astype(np.float64), bi[block.bi_back[at]].astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
-        two = np.where(b > 0, np.round(STEPS * np.log2(b / c * (types + 1))) + 4096, 0)
-        one = np.where(w > 0, np.round(STEPS * np.log2(w / max(1, total) * (types + 1))) + 4096, 0)
+        two = np.where(b > 0, np.round(STEPS * np.log2(b / c)) + 4096, 0)
+        one = np.where(w > 0, np.round(STEPS * np.log2(w)) + 4096, 0)
         bucket = np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))) + 1, 0)
     key, n = np.unique((bucket.astype(np.int64) << 32) | (two.astype(np.int64) << 16) | one.astype(np.int64), return_counts=True)
     return pack(key.view(U64), n.astype(np.int64))
 
 
-def learn(keys: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) for each bucket, by expectation-maximisation; a bucket nobody met keeps the starting weights."""
+def learn(keys: np.ndarray, n: np.ndarray, total: int = 1, types: int = 0, rounds: int = 60) -> np.ndarray:
+    """Weights (bigram, unigram, uniform) for each bucket, by expectation-maximisation; a bucket nobody met keeps the starting weights. total and types: tokens and distinct tokens that the counts come from."""
     out = np.tile(_START, (BUCKETS, 1))
     bucket, two, one = np.minimum(keys >> 32, BUCKETS - 1), keys >> 16 & 0xFFFF, keys & 0xFFFF
-    p = np.stack([np.where(two > 0, np.exp2((two - 4096) / STEPS), 0.0), np.where(one > 0, np.exp2((one - 4096) / STEPS), 0.0), np.ones(len(keys))], 1)
+    p = np.stack([np.where(two > 0, np.exp2((two - 4096) / STEPS), 0.0), np.where(one > 0, np.exp2((one - 4096) / STEPS) / max(1, total), 0.0), np.full(len(keys), 1 / (types + 1))], 1)
     for k in np.unique(bucket).tolist():
         at = bucket == k
         mine, times, w = p[at], n[at].astype(np.float64)[:, None], _START.copy()
@@ -108,9 +110,8 @@ def learn(keys: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, every: int = 8, block_bytes: int = _shared.BLOCK_BYTES) -> DataFrame:
     """One row of SCHEMA for each document. Documents whose fold is held aren't learned from; of the others, one in every is held out for the weights."""
-    n_blocks = _shared.block_count(docs, text, block_bytes)
-    rows = _shared.packed_blocks(docs, doc_id, text, n_blocks)
-    buckets = n_blocks
+    buckets = _shared.block_count(docs, text, block_bytes)
+    rows = _shared.packed_blocks(docs, doc_id, text, buckets).repartition(buckets, "blk")
 
     def block(part: pa.Table) -> tuple[list, _Block]:
         part = _shared.unpacked(part["docs"])
@@ -119,30 +120,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     def ask(key: tuple, part: pa.Table) -> pa.Table:
         _, own = block(part)
-        packed = []
-        for keys, (core, extra) in zip((own.uni, own.bi), own.sums, strict=True):
-            cuts = _shared.bucket_cuts(keys, buckets)
-            packed.append([pack_sorted(keys[a:z], core[a:z], extra[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
-        blk = key[0].as_py()
-        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([blk] * buckets, pa.int32()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["bucket", "blk", "uni", "bi"])
+        cuts = [_shared.bucket_cuts(keys, buckets) for keys in (own.uni, own.bi)]
+        used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist()
+        packed = [[pack_sorted(keys[c[k] : c[k + 1]], core[c[k] : c[k + 1]], extra[c[k] : c[k + 1]]) for k in used] for keys, c, (core, extra) in zip((own.uni, own.bi), cuts, own.sums, strict=True)]
+        return pa.table([pa.array(used, pa.int32()), pa.array([key[0].as_py()] * len(used), pa.int32()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["bucket", "blk", "uni", "bi"])
 
     def tell(key: tuple, part: pa.Table) -> pa.Table:
-        answers, facts = [], []
+        answers, types = [], np.zeros(part.num_rows, np.int64)
         for column in ("uni", "bi"):
             asked = [unpack_sorted(x) for x in part[column].to_pylist()]
-            sizes = [len(a[0]) for a in asked]
-            keys, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            cuts = np.cumsum([len(a[0]) for a in asked])
+            keys, first, back = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
             core, extra = (np.bincount(back, np.concatenate([a[c] for a in asked]).astype(np.float64), len(keys)).astype(np.int64) for c in (1, 2))
-            facts.append((int((core + extra).sum()), int(core.sum()), int((core + extra > 0).sum())))
-            answers.append([pack(core[at], extra[at]) for at in np.split(back, np.cumsum(sizes)[:-1])])
-        k = part.num_rows
-        return pa.table([part["blk"], pa.array([key[0].as_py()] * k, pa.int32()), pa.array(answers[0], pa.binary()), pa.array(answers[1], pa.binary()), *(pa.array([x] * k) for x in facts[0])], names=["blk", "bucket", "uni", "bi", "n", "n_core", "v"])
+            if column == "uni":
+                # A distinct training token counts for the block that asked for it first.
+                types = np.bincount(np.searchsorted(cuts, first[core + extra > 0], "right"), minlength=part.num_rows)
+            answers.append([pack(core[at], extra[at]) for at in np.split(back, cuts[:-1])])
+        return pa.table([part["blk"], pa.array([key[0].as_py()] * part.num_rows, pa.int32()), pa.array(answers[0], pa.binary()), pa.array(answers[1], pa.binary()), pa.array(types, pa.int64())], names=["blk", "bucket", "uni", "bi", "v"])
 
     def count(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in COUNTED_SCHEMA.split(", ")]
         ids, own = block(part)
         told = told.sort_by("bucket")
-        total, total_core, types = (sum(told[c].to_pylist()) for c in ("n", "n_core", "v"))
         core, whole = [], []
         for column in ("uni", "bi"):
             a, b = (np.concatenate(c) for c in zip(*(unpack(x) for x in told[column].to_pylist()), strict=True))
@@ -150,21 +148,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             whole.append(a + b)
         uni, bi = whole[0][own.uni_back], whole[1][own.bi_back]
         spans = list(zip(own.first[:-1].tolist(), own.first[1:].tolist(), strict=True))
-        logs = np.log10((uni.astype(np.float64) + 0.5) / (total + 0.5 * (types + 1)))
-        base = [float(logs[a:z].sum()) for a, z in spans]
         known = np.concatenate([[0], np.cumsum(uni > 0)])
         packed = [[pack(c[a:z]) for a, z in spans] for c in (uni, bi)]
         bins: list[bytes | None] = [None] * len(ids)
-        bins[0] = _ratio_bins(own, core[0], core[1], total_core, types)
-        n = len(ids)
-        return pa.table(
-            [pa.array(ids, pa.int64()), pa.array(own.role == 2), pa.array(own.n), pa.array(known[own.first[1:]] - known[own.first[:-1]]), pa.array([total] * n, pa.int64()), pa.array([types] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), pa.array(bins, pa.binary())],
-            names=names,
-        )
-
-    asked = rows.groupBy("blk").applyInArrow(ask, ASK_SCHEMA)
-    told = asked.groupBy("bucket").applyInArrow(tell, TOLD_SCHEMA)
+        bins[0] = _ratio_bins(own, core[0], core[1])
+        facts = np.zeros((3, len(ids)), np.int64)
+        facts[:, 0] = own.n[own.role != 2].sum(), own.n[own.role == 0].sum(), sum(told["v"].to_pylist())
+        columns = [pa.array(ids, pa.int64()), pa.array(own.role == 2), pa.array(own.n), pa.array(known[own.first[1:]] - known[own.first[:-1]]), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), pa.array(bins, pa.binary()), *map(pa.array, facts)]
+        return pa.table(columns, names=[c.split()[0] for c in COUNTED_SCHEMA.split(", ")])
+
+    asked = rows.groupBy("blk").applyInArrow(ask, ASK_SCHEMA).repartition(buckets, "bucket")
+    told = asked.groupBy("bucket").applyInArrow(tell, TOLD_SCHEMA).repartition(buckets, "blk")
     counted = table(rows.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(count, COUNTED_SCHEMA), "lm-counts")
+    total, total_core, types = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("n_core"), F.sum("v")).first())
 
     def open_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,19 +170,20 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
     bins = counted.where("histogram IS NOT NULL").select("histogram").mapInArrow(open_bins, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn(bins["key"].to_numpy(np.int64), bins["n"].to_numpy(np.int64))
+    weights = learn(bins["key"].to_numpy(np.int64), bins["n"].to_numpy(np.int64), total_core, types)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = []
-            for total, types, uni, bi in zip(*(b.column(k).to_pylist() for k in (4, 5, 7, 8)), strict=True):
+            base, scores = [], []
+            for uni, bi in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 w, pairs = unpack(uni)[0].astype(np.float64), unpack(bi)[0].astype(np.float64)
+                base.append(float(np.log10((w + 0.5) / (total + 0.5 * (types + 1))).sum()))
                 # What stands before the first token was seen once a training document, as was the end token.
                 c = np.concatenate([w[-1:], w[:-1]])
                 bucket = np.minimum(np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
                 lam = weights[bucket]
                 p = lam[:, 0] * pairs / np.maximum(c, 1) + lam[:, 1] * w / max(1, total) + lam[:, 2] / (types + 1)
                 scores.append(float(np.log10(p).sum()) if total else 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2, 3, 4, 6)), pa.array(scores, pa.float64())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(np.full(len(base), total)), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return counted.drop("histogram").mapInArrow(final, SCHEMA)
+    return counted.select("doc_id", "held_out", "n_tokens", "n_known", "uni", "bi").mapInArrow(final, SCHEMA)
