@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 16, doc_id:
     if not 1 <= anchor <= window:
         raise ValueError("anchor must lie between 1 and window")
     buckets = _shared.block_count(docs, text, block_bytes)
-    rows = _shared.with_block(docs, doc_id, text, buckets)
+    rows = _shared.with_block(docs, doc_id, text, buckets).repartition(buckets, "blk")
 
     def ask_anchors(key: tuple, part: pa.Table) -> pa.Table:
         own = _Block(part, window, anchor)
@@ -173,8 +173,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 16, doc_id:
         columns = zip(*out, strict=True) if out else [[]] * len(kinds)
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    asked = rows.groupBy("blk").applyInArrow(ask_anchors, ASK_SCHEMA)
-    told = asked.groupBy("bucket").applyInArrow(lambda key, part: _tell(key, part, later=False), TOLD_SCHEMA)
-    asked = rows.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(ask_windows, ASK_SCHEMA)
-    told = asked.groupBy("bucket").applyInArrow(lambda key, part: _tell(key, part, later=True), TOLD_SCHEMA)
-    return rows.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(finish, SCHEMA)
+    def answered(asked: DataFrame, later: bool):
+        told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda key, part: _tell(key, part, later), TOLD_SCHEMA)
+        return told.repartition(buckets, "blk").groupBy("blk")
+
+    told = answered(rows.groupBy("blk").applyInArrow(ask_anchors, ASK_SCHEMA), later=False)
+    told = answered(rows.groupBy("blk").cogroup(told).applyInArrow(ask_windows, ASK_SCHEMA), later=True)
+    return rows.groupBy("blk").cogroup(told).applyInArrow(finish, SCHEMA)
