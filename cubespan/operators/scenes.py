@@ -51,22 +51,26 @@ class StackedCube:
     shape: tuple[int, int] = field(default=(0, 0))
 
 
-def judged(items: DataFrame, grids: DataFrame, cfg: StackConfig) -> DataFrame:
-    """The first max_items items in the order of their datetime texts, with t, scene_epsg and reason: null if the item can be used whatever the reference."""
+def judged(items: DataFrame, grids: DataFrame, cfg: StackConfig, failed: DataFrame | None = None) -> DataFrame:
+    """The first max_items items in the order of their datetime texts, with t, scene_epsg and reason: null if the item can be used whatever the reference. failed: item_id, error of scenes that couldn't be read."""
     first = items.orderBy(F.col("datetime").asc_nulls_first(), "item_id").limit(cfg.max_items)
     have = grids.where(F.col("asset").isin(*cfg.assets)).groupBy("item_id").agg(F.collect_set("asset").alias("have"), F.min("epsg").alias("grid_epsg"))
     own = first.join(have, "item_id", "left").withColumn("t", C.fractional_year_iso(F.col("datetime")))
+    if failed is None:
+        own = own.withColumn("__error", F.lit(None).cast("string"))
+    else:
+        own = own.join(failed.groupBy("item_id").agg(F.min("error").alias("__error")), "item_id", "left")
     lacking = F.array_except(F.array(*map(F.lit, cfg.assets)), F.coalesce("have", F.array().cast("array<string>")))
     reason = F.when(F.col("datetime").isNull(), "no datetime given").when(F.col("t").isNull(), F.concat(F.lit("datetime '"), "datetime", F.lit("' can't be read")))
     if cfg.max_cloud_cover is not None:
         cc = F.col("cloud_cover")
         reason = reason.when(F.coalesce(cc, F.lit(0.0)) > cfg.max_cloud_cover, F.concat(F.lit("cloud cover "), F.round(cc).cast("int"), F.lit(f"% > {cfg.max_cloud_cover:.0f}%")))
-    reason = reason.when(F.size(lacking) > 0, F.concat(F.lit("asset '"), F.get(lacking, 0), F.lit("' is missing")))
-    return own.withColumn("reason", reason).withColumn("scene_epsg", F.coalesce("epsg", "grid_epsg"))
+    reason = reason.when(F.col("__error").isNotNull(), F.col("__error")).when(F.size(lacking) > 0, F.concat(F.lit("asset '"), F.get(lacking, 0), F.lit("' is missing")))
+    return own.withColumn("reason", reason).drop("__error").withColumn("scene_epsg", F.coalesce("epsg", "grid_epsg"))
 
 
-def clip(items: DataFrame, grids: DataFrame, pixels: DataFrame, bbox: Sequence[float]) -> tuple[DataFrame, DataFrame]:
-    """grids and pixels of the part that a box in degrees covers, whole pixels.
+def windows(items: DataFrame, grids: DataFrame, bbox: Sequence[float]) -> DataFrame:
+    """grids with r0, r1, c0 and c1, the whole pixels of each that a box in degrees covers.
 
     The box is brought to an item's coordinate system, else to its grid's; without either, or in degrees, it is
     taken as it is. Grids in other systems than UTM stay whole; grids that the box doesn't meet go.
@@ -89,15 +93,25 @@ def clip(items: DataFrame, grids: DataFrame, pixels: DataFrame, bbox: Sequence[f
         return F.coalesce(F.greatest(lo, F.lit(0)), F.lit(0)).cast("int"), F.coalesce(F.least(hi, F.col(size)), F.col(size)).cast("int")
 
     (c0, c1), (r0, r1) = span("xa", "xb", "x0", "dx", "nx"), span("ya", "yb", "y0", "dy", "ny")
-    met = met.withColumns({"c0": c0, "c1": c1, "r0": r0, "r1": r1}).where("c1 > c0 AND r1 > r0")
+    return met.withColumns({"c0": c0, "c1": c1, "r0": r0, "r1": r1}).where("c1 > c0 AND r1 > r0")
+
+
+def cropped(met: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The grids of windows()."""
     cut = {"x0": F.col("x0") + F.col("c0") * F.col("dx"), "y0": F.col("y0") + F.col("r0") * F.col("dy"), "nx": F.col("c1") - F.col("c0"), "ny": F.col("r1") - F.col("r0")}
+    return met.withColumns(cut).select(*columns)
+
+
+def clip(items: DataFrame, grids: DataFrame, pixels: DataFrame, bbox: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """grids and pixels of the part that a box covers."""
+    met = windows(items, grids, bbox)
     window = met.select("item_id", "asset", "c0", "c1", "r0", "r1")
     inside = pixels.join(window, ["item_id", "asset"]).where("row >= r0 AND row < r1 AND col >= c0 AND col < c1")
     moved = inside.withColumns({"row": (F.col("row") - F.col("r0")).cast("int"), "col": (F.col("col") - F.col("c0")).cast("int")})
-    return met.withColumns(cut).select(*grids.columns), moved.select(*pixels.columns)
+    return cropped(met, grids.columns), moved.select(*pixels.columns)
 
 
-def stack(items: DataFrame, grids: DataFrame, pixels: DataFrame, cfg: StackConfig) -> StackedCube:
+def stack(items: DataFrame, grids: DataFrame, pixels: DataFrame, cfg: StackConfig, failed: DataFrame | None = None) -> StackedCube:
     """The cube of all usable items. The first usable one in time gives the grid, by its first asset, and the coordinate system.
 
     Pixels are taken by nearest neighbour. A scene of another UTM zone is sampled bilinearly at the places
@@ -107,7 +121,7 @@ def stack(items: DataFrame, grids: DataFrame, pixels: DataFrame, cfg: StackConfi
     cfg.validate()
     if cfg.bbox is not None:
         grids, pixels = clip(items, grids, pixels, cfg.bbox)
-    every = judged(items, grids, cfg).cache()
+    every = judged(items, grids, cfg, failed).cache()
     assets = [a for a in cfg.assets]
     lead = every.where("reason IS NULL").join(grids.where(F.col("asset") == assets[0]).drop("epsg"), "item_id").orderBy("datetime", "item_id").first()
     if lead is None:

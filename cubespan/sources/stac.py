@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubespan.errors import EmptyStack
+
 #: Short names of public catalogues.
 CATALOGS = {"pc": "https://planetarycomputer.microsoft.com/api/stac/v1", "es": "https://earth-search.aws.element84.com/v1"}
 ITEMS = "item_id string, collection string, datetime string, cloud_cover double, epsg int, assets map<string,string>"
@@ -54,5 +57,12 @@ def pages(catalog: str, collection: str, bbox: Sequence[float], datetime: str, m
 def search(spark: SparkSession, catalog: str, collection: str, bbox: Sequence[float], datetime: str, max_items: int = 100, fetch: Callable[[str, dict | None], dict] = _fetch) -> DataFrame:
     """ITEMS of a search; the box, the dates and the number go to the service. At most max_items items come to the driver."""
     lines = [(json.dumps(f),) for f in pages(catalog, collection, bbox, datetime, max_items, fetch)]
+    if not lines:
+        raise EmptyStack(f"nothing of {collection} was found for {datetime}")
     raw = spark.createDataFrame(lines, "value string")
     return _items(raw.select(F.from_json("value", _FEATURE).alias("f")).select("f.*"))
+
+
+def signed(href: str, fetch: Callable[[str, dict | None], dict] = _fetch) -> str:
+    """A link that the catalogue "pc" lets be read, from its public signing service."""
+    return fetch(f"https://planetarycomputer.microsoft.com/api/sas/v1/sign?href={urllib.parse.quote(href, safe='')}", None)["href"]

@@ -199,3 +199,91 @@ def test_recovery_by_gaps_and_its_registered_grid(spark, monkeypatch):
     queries.monte_carlo(spark, "")
     assert asked["repetitions"] == 300 and {0.02, 0.05, 0.14} <= set(asked["sigmas"]) and len(asked["sigmas"]) == 8
     assert list(asked["steps"]) == pytest.approx([0.1 + 0.05 * k for k in range(9)]) and tuple(asked["gaps"]) == (0.1, 0.4)
+
+
+def lzw_coded(data):
+    """The TIFF variant of LZW, highest bit first."""
+    words, out, width, w = {bytes([k]): k for k in range(256)}, [(256, 9)], 9, b""
+    n = 258
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if w + c in words:
+            w += c
+            continue
+        out.append((words[w], width))
+        words[w + c] = n
+        n += 1
+        width = max(width, (n).bit_length())
+        if n == 4094:
+            out.append((256, width))
+            words, n, width = {bytes([k]): k for k in range(256)}, 258, 9
+        w = c
+    out += [(words[w], width)] if w else []
+    out.append((257, max(9, min(12, (n + 1).bit_length())) if w else width))
+    bits = "".join(f"{c:0{b}b}" for c, b in out)
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"aaaaaaaaaa", bytes(range(256)) * 40, bytes((k * k) % 251 for k in range(9000))])
+def test_lzw(data):
+    assert geotiff.lzw(lzw_coded(data)) == data
+
+
+def test_predictors_and_big_tiff():
+    import struct
+    import zlib
+
+    data = np.linspace(-5, 9, 35).reshape(5, 7).astype("f4")
+    planes = data.astype(">f4").view(np.uint8).reshape(5, 7, 4).transpose(0, 2, 1).reshape(5, 28)
+    block = zlib.compress(np.diff(planes, axis=1, prepend=np.zeros((5, 1), np.uint8)).astype(np.uint8).tobytes())
+    tags = [(256, 4, 7), (257, 4, 5), (258, 3, 32), (259, 3, 8), (273, 16, 16), (277, 3, 1), (278, 4, 5), (279, 16, len(block)), (317, 3, 3), (339, 3, 3)]
+    ifd = struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", tag, kind, 1, x) for tag, kind, x in tags) + struct.pack("<Q", 0)
+    raw = b"II" + struct.pack("<HHHQ", 43, 8, 0, 16 + len(block)) + block + ifd
+    assert (geotiff.read(raw).data == data).all()
+    asked = []
+    r = geotiff.read_window(lambda at, size: asked.append((at, size)) or raw[at : at + size], None, (1, 3, 2, 6))
+    assert (r.data == data[1:3, 2:6]).all() and (r.x0, r.y0) == (2, -1)
+
+
+def test_windows_take_few_blocks():
+    data = np.arange(4000 * 50, dtype="f4").reshape(4000, 50)
+    raw, asked = geotiff.write(geotiff.Raster(data, 0.0, 1.0, 0.0, -1.0)), []
+    r = geotiff.read_window(geotiff.buffered(lambda at, size: asked.append(size) or raw[at : at + size]), None, (1000, 1010, 5, 9))
+    assert (r.data == data[1000:1010, 5:9]).all() and sum(asked) < len(raw) / 3
+
+
+def test_stack_from_files(spark, tmp_path, capsys):
+    """Items in JSON, GeoTIFFs in windows, a broken file and clouds skipped, maps as GeoTIFFs."""
+    from cubespan.functions import utm
+
+    features = []
+    for k in range(16):
+        data = np.add.outer(np.arange(6), np.arange(8)) * 1.0 + k * (1 + (k > 7))
+        (tmp_path / f"s{k}.tif").write_bytes(geotiff.write(geotiff.Raster(data, 500000.0, 10.0, 7e6, -10.0, 32719)) if k != 5 else b"II broken")
+        features.append({"id": f"s{k:02d}", "collection": "c", "properties": {"datetime": f"20{20 + k // 12}-{k % 12 + 1:02d}-15T00:00:00Z", "eo:cloud_cover": 90.0 if k == 6 else 1.0}, "assets": {"b": {"href": f"{tmp_path}/s{k}.tif"}, "other": {"href": "nowhere"}}})
+    features[9]["assets"]["b"]["href"] = f"{tmp_path}/none.tif"
+    (tmp_path / "items.json").write_text(json.dumps({"features": features}))
+    corners = spark.createDataFrame([(500010.5, 6999989.5, 32719), (500049.5, 6999970.5, 32719)], "x double, y double, zone int")
+    a, b = utm.backward(corners, "x", "y", "zone").orderBy("x").collect()
+    outputs = {k: str(tmp_path / f"{k}.tif") for k in ("output", "pvalue-output", "breaks-output", "first-break-output")}
+    assert main(["stack", "--items", f"file://{tmp_path}/items.json", "--assets", "b", f"--bbox={a.lon},{b.lat},{b.lon},{a.lat}", "--max-cloud", "50", "--break-harmonics", "0", *(f"--{k}={v}" for k, v in outputs.items())]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["dims"] == {"bands": 1, "height": 2, "width": 4, "times": 13} and report["epsg"] == 32719 and len(report["maps_written"]) == 4
+    assert [x.split(":")[0] for x in report["skipped"]] == ["s05", "s06", "s09"] and "no TIFF" in report["skipped"][0] and "cloud" in report["skipped"][1]
+    slope = geotiff.read((tmp_path / "output.tif").read_bytes())
+    assert slope.data.shape == (2, 4) and (slope.x0, slope.y0, slope.epsg) == (500010, 6999990, 32719)
+    t = [x["time"] for x in report["scenes"]]
+    from cubespan.functions import kernels
+
+    v = [k * (1 + (k > 7)) for k in range(16) if k not in (5, 6, 9)]
+    assert slope.data == pytest.approx(kernels.theil_sen(t, v).slope, rel=1e-5)
+    counts = geotiff.read((tmp_path / "breaks-output.tif").read_bytes()).data
+    assert (counts == len(kernels.detect_breaks(np.array(t), np.array(v, float)).breaks)).all()
+    with pytest.raises(errors.ConfigError):
+        main(["stack", "--assets", "b"])
+
+
+def test_empty_search_is_an_error(spark):
+    with pytest.raises(errors.EmptyStack, match="nothing of c"):
+        stac.search(spark, "http://x", "c", [0, 0, 1, 1], "2024", fetch=lambda url, body: {"features": []})
+    assert stac.signed("http://a/b?c", fetch=lambda url, body: {"href": url}) == "https://planetarycomputer.microsoft.com/api/sas/v1/sign?href=http%3A%2F%2Fa%2Fb%3Fc"
