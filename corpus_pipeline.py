@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = _shared.table(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        _shared.remove(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
