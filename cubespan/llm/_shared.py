@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from cubespan.sources.folders import new_path
 
 U64 = np.uint64
+try:
+    _libc: ctypes.CDLL | None = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
 #: Bytes of text in a block of documents, and about as much in a bucket of hashes.
 BLOCK_BYTES = 8 << 20
 
@@ -29,6 +35,32 @@ def table(df: DataFrame, what: str, **options: str) -> DataFrame:
     return out
 
 
+def release() -> None:
+    """Gives freed memory back to the machine. Python workers stay after a task, and several of an executor would each keep what the largest block took."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def freed(f: Callable) -> Callable:
+    """A function of a group, or of two that meet, that calls release() when it is done. Spark looks at the number of its arguments."""
+    if f.__code__.co_argcount == 3:
+
+        def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            out = f(key, left, right)
+            release()
+            return out
+
+        return both
+
+    def one(key: tuple, part: pa.Table) -> pa.Table:
+        out = f(key, part)
+        release()
+        return out
+
+    return one
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes tables of table() that nothing reads any more."""
     for t in tables:
@@ -94,6 +126,7 @@ def packed_blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
                     writer.write_batch(own)
                 out.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out, pa.binary())], names=["blk", "docs"])
+        release()
 
     return with_block(docs, doc_id, text, n).mapInArrow(run, "blk int, docs binary")
 

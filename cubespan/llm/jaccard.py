@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cubespan.llm import _shared, _text
 from cubespan.llm._graph import components, forest
-from cubespan.llm._shared import look_up, pack, pack_sorted, remove, table, unpack, unpack_sorted
+from cubespan.llm._shared import freed, look_up, pack, pack_sorted, release, remove, table, unpack, unpack_sorted
 
 U64 = np.uint64
 ASK_SCHEMA = "bucket int, blk int, asked binary"
@@ -144,6 +144,7 @@ def _members(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, bloc
         own = part.take(pa.array(keep, pa.int64()))
         return own["node"].to_pylist(), shingle_sets(own["text"], n)
 
+    @freed
     def ask(key: tuple, part: pa.Table, more: pa.Table) -> pa.Table:
         _, sets = own_sets(part, more)
         keys, times = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
@@ -152,6 +153,7 @@ def _members(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, bloc
         packed = [pack_sorted(keys[cuts[b] : cuts[b + 1]], times[cuts[b] : cuts[b + 1]]) for b in used]
         return pa.table([pa.array(used, pa.int32()), pa.array([key[0].as_py()] * len(used), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "blk", "asked"])
 
+    @freed
     def tell(key: tuple, part: pa.Table) -> pa.Table:
         asked = [unpack_sorted(x) for x in part["asked"].to_pylist()]
         keys, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
@@ -163,6 +165,7 @@ def _members(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, bloc
             told.append(pack_sorted(own[mine > 1], mine[mine > 1]))
         return pa.table([part["blk"], pa.array([key[0].as_py()] * len(told), pa.int32()), pa.array(told, pa.binary())], names=["blk", "bucket", "told"])
 
+    @freed
     def prefixes(key: tuple, part: pa.Table, more: pa.Table) -> pa.Table:
         ids, sets = own_sets(part, more)
         answers = more.filter(pa.compute.greater_equal(more["bucket"], 0)).sort_by("bucket")["told"].to_pylist()
@@ -243,6 +246,7 @@ def _candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
             used = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
             packed = [pack(*(c[cuts[k] : cuts[k + 1]] for c in (keys, size, gid, place))) for k in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "entries"])
+        release()
 
     def join(key: tuple, part: pa.Table) -> pa.Table:
         keys, *rest = (np.concatenate(c) for c in zip(*map(unpack, part["entries"].to_pylist()), strict=True))
@@ -256,6 +260,7 @@ def _candidate_edges(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
 def _compared(met: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(a, b) for (cluster, i, j, side, known, node, members): the rows of one (cluster, i, j) are compared, sides i and j with each other if they differ."""
 
+    @freed
     def verify(key: tuple, part: pa.Table) -> pa.Table:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         part = part.sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending")])

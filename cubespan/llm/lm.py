@@ -118,6 +118,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         ids = part["doc_id"].to_pylist()
         return ids, _Block(ids, part["text"], folds, held, every)
 
+    @_shared.freed
     def ask(key: tuple, part: pa.Table) -> pa.Table:
         _, own = block(part)
         cuts = [_shared.bucket_cuts(keys, buckets) for keys in (own.uni, own.bi)]
@@ -125,6 +126,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         packed = [[pack_sorted(keys[c[k] : c[k + 1]], core[c[k] : c[k + 1]], extra[c[k] : c[k + 1]]) for k in used] for keys, c, (core, extra) in zip((own.uni, own.bi), cuts, own.sums, strict=True)]
         return pa.table([pa.array(used, pa.int32()), pa.array([key[0].as_py()] * len(used), pa.int32()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["bucket", "blk", "uni", "bi"])
 
+    @_shared.freed
     def tell(key: tuple, part: pa.Table) -> pa.Table:
         answers, types = [], np.zeros(part.num_rows, np.int64)
         for column in ("uni", "bi"):
@@ -138,6 +140,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             answers.append([pack(core[at], extra[at]) for at in np.split(back, cuts[:-1])])
         return pa.table([part["blk"], pa.array([key[0].as_py()] * part.num_rows, pa.int32()), pa.array(answers[0], pa.binary()), pa.array(answers[1], pa.binary()), pa.array(types, pa.int64())], names=["blk", "bucket", "uni", "bi", "v"])
 
+    @_shared.freed
     def count(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
         ids, own = block(part)
         told = told.sort_by("bucket")

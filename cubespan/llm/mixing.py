@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespan.llm import _text
-from cubespan.llm._shared import row_hash, table, whole_row
+from cubespan.llm._shared import release, row_hash, table, whole_row
 
 #: A group of shards draws fewer slots than that, the most that numpy's hypergeometric draw is exact for.
 GROUP_SLOTS = 1 << 28
@@ -271,6 +271,7 @@ class Mix:
                         rows, texts = [], []
                 if rows:
                     yield batch(columns, rows, texts)
+            release()
 
         def batch(columns: list, rows: list[int], texts: list[str]) -> pa.RecordBatch:
             out = [c.take(pa.array(rows)) for c in columns]

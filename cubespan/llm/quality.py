@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespan.llm import _text
+from cubespan.llm import _shared, _text
 
 #: Stock phrases of web pages, in lower case; a line with one of them and few words more is boilerplate.
 STOCK = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "sign up", "log in", "subscribe to", "click here", "read more", "share this", "skip to content", "back to top", "enable javascript", "lorem ipsum")
@@ -134,6 +134,7 @@ def judge(rules: Rules, batches: Iterator[pa.RecordBatch], with_text: bool = Fal
                 [ids.cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, chars, symbols, dup, repeats, lines, bad)), pa.array(lost, pa.float64()), pa.array(failed), pa.array(kept, pa.bool_()), pa.array(cleaned, pa.string())],
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )
+    _shared.release()
 
 
 def line_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules | None = None) -> DataFrame:
@@ -156,5 +157,6 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Ru
             kept = done["kept"].combine_chunks()
             columns = [done["cleaned"].combine_chunks().cast(batch.column(k).type) if k == body else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
+        _shared.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespan.llm import _text
+from cubespan.llm import _shared, _text
 
 SCHEMA = "doc_id long, n_candidates long, n_secrets long, spans array<string>, top_score double, redacted_sha256 string"
 MASK = "[SECRET]"
@@ -376,6 +376,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Fo
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        _shared.release()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
 
@@ -395,5 +396,6 @@ def redact(docs: DataFrame, text: str = "text", forest: Forest | None = None, th
 
                 body = pc.replace_with_mask(body, pa.array(mask), pa.array([new[k] for k in sorted(new)], body.type))
             yield pa.RecordBatch.from_arrays([body if k == at else c for k, c in enumerate(b.columns)], schema=b.schema)
+        _shared.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -133,11 +133,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 16, doc_id:
     buckets = _shared.block_count(docs, text, block_bytes)
     rows = _shared.with_block(docs, doc_id, text, buckets).repartition(buckets, "blk")
 
+    @_shared.freed
     def ask_anchors(key: tuple, part: pa.Table) -> pa.Table:
         own = _Block(part, window, anchor)
         at, g = own.anchors()
         return _ask(key[0].as_py(), g, own.doc[at], buckets)
 
+    @_shared.freed
     def ask_windows(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
         blk = key[0].as_py()
         if not part.num_rows or not told.num_rows:
@@ -152,6 +154,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 16, doc_id:
         close = np.cumsum(near)[start] > 0
         return _ask(blk, w[close], own.doc[start[close]], buckets)
 
+    @_shared.freed
     def finish(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
         own = _Block(part, window, anchor)
         start, w = own.windows()
@@ -174,7 +177,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 16, doc_id:
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def answered(asked: DataFrame, later: bool):
-        told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda key, part: _tell(key, part, later), TOLD_SCHEMA)
+        told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared.freed(lambda key, part: _tell(key, part, later)), TOLD_SCHEMA)
         return told.repartition(buckets, "blk").groupBy("blk")
 
     told = answered(rows.groupBy("blk").applyInArrow(ask_anchors, ASK_SCHEMA), later=False)
