@@ -8,7 +8,7 @@ as the counts allow.
 
 Rests are packed in windows of window rests within a partition, so memory is bounded and nothing is
 shuffled; the last sequences of a window can have slack. Sequence ids are unique and follow the partitions.
-Null text is empty and still has its end id; repeated rows are packed each for itself.
+Null text is empty and still has its end id; a null id stays null, and repeated rows are packed each for itself.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ stock phrase of web pages, most of its words repeat the word before, or it repea
 document. A document is rejected when it fails the base rule, when
 nothing is left, or when the dropped lines held more than max_lost of its characters.
 
-Null and empty texts have no words; they fail the base rule and are rejected. Repeated rows are judged each
-for itself. Columns of the input other than the id and the text pass through clean() unchanged.
+Null and empty texts have no words; they fail the base rule and are rejected. A null id stays null; repeated rows
+are judged each for itself. Columns of the input other than the id and the text pass through clean() unchanged.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ labelled_findings(), made by rule from a seed; a caller can give findings of the
 most_labels (those with the smallest hashes) are used. The model's size has a fixed bound, so it travels with
 the function.
 
-Null and empty texts have no candidates. Texts are scanned whole, every row for itself. redact() passes all
+Null and empty texts have no candidates; a null id stays null. Texts are scanned whole, every row for itself. redact() passes all
 other columns through unchanged.
 """
 

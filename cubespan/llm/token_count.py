@@ -7,7 +7,8 @@ single space between two other characters. The tokenizers' patterns never match
 and right of it don't depend on what lies beyond. Where an overlap has no such boundary, the document is cut
 anew with four times the chunk and eight times the overlap, until one chunk holds it.
 
-Null and empty texts have 0 bytes and 0 tokens. Rows with equal texts are encoded once if they are huge.
+Null and empty texts have 0 bytes and 0 tokens. Rows with equal texts are encoded once if they are huge. A null id
+stays null, and rows with equal ids are counted each for itself.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def splice(coded: DataFrame) -> DataFrame:
     return out.groupBy("h").agg(F.sum(upto - since).alias("n_tokens"), F.min(upto.isNotNull() & since.isNotNull()).alias("aligned"))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 32768, overlap_chars: int = 256, huge_chars: int = 65536) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 8192, overlap_chars: int = 256, huge_chars: int = 16384) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of docs; over_limit: more tokens than limit."""
     if tokenizer.endswith(".model") and not inner_space_free(tokenizer):
         raise ValueError("this model has pieces that go over spaces, so no boundary is proven stable")

@@ -9,7 +9,7 @@ among the k best. A query stops only when few enough are left by that proof, or
 those are scored exactly from the integer components.
 
 Queries meet every block of the index; a block's k best and then the k best of all blocks are kept, ties to
-the smaller id. Vectors that are null or hold null or non-finite components take no part, and neither do
+the smaller id. Rows with a null id and vectors that are null or hold null or non-finite components take no part, and neither do
 vectors of another length than a query's, for that query. Rows with equal ids are rows of their own; such a query asks
 once, with the smallest of its vectors, and every row with its id counts as its own.
 """
