@@ -8,8 +8,9 @@ start in a document with a smaller id are marked. Overlapping marked passages ma
 window words or more; their words are removed.
 
 Both joins exchange sorted, pre-aggregated hashes between blocks of documents and buckets of the hash range:
-a passage costs one entry a block however often it occurs, and no pairs of documents are formed. Equal hashes
-count as equal passages (64 bits).
+a passage costs one entry a block however often it occurs, and no pairs of documents are formed. Anchors have
+hashes of 64 bits, as an anchor that is wrongly held to be a seed only costs time; passages that are equal in two
+independent hashes, 128 bits, count as equal.
 
 Null text has no words. A null id counts as larger than all others. Rows with equal ids don't remove each
 other's words, but lose those that a smaller id has. What a document loses depends on the input alone, not on
@@ -28,6 +29,8 @@ from cubespan.llm import _shared, _text
 from cubespan.llm._shared import pack_sorted, unpack_sorted
 
 U64 = np.uint64
+#: Makes a second hash of a word from the first.
+SECOND = U64(0x9E3779B97F4A7C15)
 ASK_SCHEMA = "bucket int, blk int, asked binary"
 TOLD_SCHEMA = "blk int, bucket int, told binary"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<string>, kept_text string"
@@ -71,54 +74,70 @@ class _Block:
         at = anchors(g, self.valid, self.window - self.anchor + 1)
         return at, g[at]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows that lie in one document."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows that lie in one document, and two hashes of them."""
         at = np.flatnonzero(self.valid)
-        return at, _text.windows(self.h, self.window)[at] if len(at) else np.zeros(0, U64)
+        if not len(at):
+            return at, np.zeros(0, U64), np.zeros(0, U64)
+        return at, _text.windows(self.h, self.window)[at], _text.windows(_text.mix(self.h + SECOND), self.window)[at]
 
 
-def _ask(blk, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
-    """Distinct keys with the smallest and the largest document, by bucket."""
-    order = np.argsort(keys)
-    k, d = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    k = k[first]
+def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts pairs, and where each distinct pair begins in it."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    return order, np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, np.int64)
+
+
+def _ask(blk, keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
+    """Distinct keys with their checks, the smallest and the largest document, by bucket."""
+    order, first = _distinct(keys, checks)
+    k, c, d = keys[order][first], checks[order][first], docs[order]
     low, high = (f.reduceat(d, first) if len(first) else d for f in (np.minimum, np.maximum))
     cuts = _shared.bucket_cuts(k, buckets)
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    packed = [pack_sorted(k[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]], high[cuts[b] : cuts[b + 1]]) for b in used]
+    packed = [pack_sorted(*(x[cuts[b] : cuts[b + 1]] for x in (k, c, low, high))) for b in used]
     return pa.table([pa.array(used, pa.int32()), pa.array([blk] * len(used), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "blk", "asked"])
 
 
 def _tell(key: tuple, part: pa.Table, later: bool) -> pa.Table:
     """To each block those of its keys that two documents have, with the smallest document; later: only those that a larger document of the block has too."""
     asked = [unpack_sorted(x) for x in part["asked"].to_pylist()]
-    keys, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    low, high = np.full(len(keys), (1 << 63) - 1, np.int64), np.full(len(keys), -(1 << 63), np.int64)
-    np.minimum.at(low, back, np.concatenate([a[1] for a in asked]).view(np.int64))
-    np.maximum.at(high, back, np.concatenate([a[2] for a in asked]).view(np.int64))
+    keys, checks, least, most = (np.concatenate(c) for c in zip(*asked, strict=True))
+    order, first = _distinct(keys, checks)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+    low, high = (f.reduceat(d.view(np.int64)[order], first) if len(first) else d.view(np.int64) for f, d in ((np.minimum, least), (np.maximum, most)))
     told, at = [], 0
-    for own, _, top in asked:
+    for own, check, _, top in asked:
         mine = back[at : at + len(own)]
         at += len(own)
         wanted = low[mine] < (top.view(np.int64) if later else high[mine])
-        told.append(pack_sorted(own[wanted], low[mine][wanted]))
+        told.append(pack_sorted(own[wanted], check[wanted], low[mine][wanted]))
     return pa.table([part["blk"], pa.array([key[0].as_py()] * len(told), pa.int32()), pa.array(told, pa.binary())], names=["blk", "bucket", "told"])
 
 
-def _table(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys and smallest documents of what all buckets told a block."""
+def _table(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending keys, checks and smallest documents of what all buckets told a block."""
     got = [unpack_sorted(x) for x in told.sort_by("bucket")["told"].to_pylist()]
     if not got:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    keys, low = (np.concatenate(c) for c in zip(*got, strict=True))
-    return keys, low.view(np.int64)
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
+    keys, checks, low = (np.concatenate(c) for c in zip(*got, strict=True))
+    return keys, checks, low.view(np.int64)
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each wanted key is among ascending keys, and where."""
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    return (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)), at
+def _found(keys: np.ndarray, checks: np.ndarray, wanted: np.ndarray, wanted_checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted pair is among ascending ones, and where."""
+    hit, at = np.zeros(len(wanted), bool), np.searchsorted(keys, wanted)
+    open_ = np.flatnonzero(at < len(keys))
+    while len(open_):
+        open_ = open_[keys[at[open_]] == wanted[open_]]
+        same = checks[at[open_]] == wanted_checks[open_]
+        hit[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(keys)]
+    return hit, at
 
 
 def _spans(marked: np.ndarray) -> list[str]:
@@ -137,29 +156,30 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 16, doc_id:
     def ask_anchors(key: tuple, part: pa.Table) -> pa.Table:
         own = _Block(part, window, anchor)
         at, g = own.anchors()
-        return _ask(key[0].as_py(), g, own.doc[at], buckets)
+        return _ask(key[0].as_py(), g, np.zeros(len(g), U64), own.doc[at], buckets)
 
     @_shared.freed
     def ask_windows(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
         blk = key[0].as_py()
         if not part.num_rows or not told.num_rows:
-            return _ask(blk, np.zeros(0, U64), np.zeros(0, np.int64), buckets)
+            return _ask(blk, np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), buckets)
         own = _Block(part, window, anchor)
         at, g = own.anchors()
-        seeds = at[_found(_table(told)[0], g)[0]]
+        keys, checks, _ = _table(told)
+        seeds = at[_found(keys, checks, g, np.zeros(len(g), U64))[0]]
         near = np.zeros(len(own.h) + 1, np.int64)
         np.add.at(near, np.maximum(0, seeds - (window - anchor)), 1)
         np.add.at(near, seeds + 1, -1)
-        start, w = own.windows()
+        start, w, check = own.windows()
         close = np.cumsum(near)[start] > 0
-        return _ask(blk, w[close], own.doc[start[close]], buckets)
+        return _ask(blk, w[close], check[close], own.doc[start[close]], buckets)
 
     @_shared.freed
     def finish(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
         own = _Block(part, window, anchor)
-        start, w = own.windows()
-        keys, low = _table(told)
-        hit, at = _found(keys, w)
+        start, w, check = own.windows()
+        keys, checks, low = _table(told)
+        hit, at = _found(keys, checks, w, check)
         hit[hit] = low[at[hit]] < own.doc[start[hit]]
         gone = _text.covered(start[hit], window, len(own.h))
         raw, out = own.data.tobytes(), []
