@@ -77,6 +77,18 @@ class Encoder:
         n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
+    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places in bytes where tokens begin whatever stands before and after (last: the end), and the tokens before each.
+
+        A text that goes to the library as a whole has its two ends only.
+        """
+        data = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(data)], np.int64)
+        if not len(data):
+            return off[:1], off[:1]
+        starts, _, size = self._sizes(data, off)[:3]
+        return np.append(starts, len(data)), np.concatenate([[0], np.cumsum(size)])
+
     def _odd(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Documents that go to the library as a whole."""
         odd = np.zeros(len(off) - 1, bool)
@@ -134,6 +146,13 @@ class Encoder:
     def _part(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        _, owner, size, at = self._sizes(data, off)
+        done = np.cumsum(size)
+        ids = self.ids[np.repeat(self.at[at] - (done - size), size) + np.arange(int(done[-1]))]
+        return ids, np.bincount(owner, size, len(off) - 1).astype(np.int64)
+
+    def _sizes(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the pieces, their documents, their tokens and their places in the store."""
         odd = self._odd(data, off) if self.newline is not None else np.ones(len(off) - 1, bool)
         starts = self._cuts(data, off)
         owner = np.searchsorted(off, starts, "right") - 1
@@ -145,10 +164,7 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         distinct, where, back = np.unique(_text.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         at = self._places(distinct, data, starts[where], ends[where])[back]
-        size = self.n[at].astype(np.int64)
-        done = np.cumsum(size)
-        ids = self.ids[np.repeat(self.at[at] - (done - size), size) + np.arange(int(done[-1]))]
-        return ids, np.bincount(owner, size, len(off) - 1).astype(np.int64)
+        return starts, owner, self.n[at].astype(np.int64), at
 
     def _places(self, distinct: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Indices of pieces in the store, after those that weren't there were encoded."""

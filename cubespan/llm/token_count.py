@@ -1,11 +1,13 @@
 """Token counts with overlap resynchronisation (operator 3).
 
 Documents of at most huge_chars characters are encoded whole. A longer one is cut into chunks of chunk_chars
-that overlap by overlap_chars, which are dealt over the cluster and encoded with offsets. Two neighbours are
-spliced at a boundary that both encodings have in their overlap and that is proven stable: the place before a
-single space between two other characters. The tokenizers' patterns never match across it, so the tokens left
-and right of it don't depend on what lies beyond. Where an overlap has no such boundary, the document is cut
-anew with four times the chunk and eight times the overlap, until one chunk holds it.
+that overlap by overlap_chars, which are dealt over the cluster by the bytes of all chunks and encoded with
+offsets: those of the pieces that a byte-level BPE's store keeps, those of tokens for other libraries and for
+chunks that the store can't cut. Two neighbours are spliced at a boundary that both encodings have in their
+overlap and that is proven stable: the place before a single space between two other characters. The tokenizers'
+patterns never match across it, so the tokens left and right of it don't depend on what lies beyond. Where an
+overlap has no such boundary, the document is cut anew with four times the chunk and eight times the overlap,
+until one chunk holds it.
 
 Null and empty texts have 0 bytes and 0 tokens. Rows with equal texts are encoded once if they are huge. A null id
 stays null, and rows with equal ids are counted each for itself.
@@ -13,6 +15,7 @@ stays null, and rows with equal ids are counted each for itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from cubespan.llm._shared import table
 
+#: Bytes of chunks that a task encodes, about.
+TASK_BYTES = 4 << 20
 CHUNK_SCHEMA = "h string, k long, last boolean, start long, chunk string"
 CODED_SCHEMA = "h string, k long, last boolean, n_tokens long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
 
@@ -75,9 +80,13 @@ def inner_space_free(path: str) -> bool:
 
 
 def cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """CHUNK_SCHEMA for (h, text)."""
+    """CHUNK_SCHEMA for (h, text). Texts that a task has met already are left out."""
+    met = set()
     for b in batches:
         for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if h in met:
+                continue
+            met.add(h)
             n = max(1, -(-max(0, len(text) - overlap) // chunk))
             for k in range(0, n, 64):
                 ks = range(k, min(n, k + 64))
@@ -88,16 +97,41 @@ def cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator
 def code(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     """CODED_SCHEMA for CHUNK_SCHEMA: stable token boundaries in both overlaps, with the tokens before them."""
     offsets, plain = library_offsets(path), path.endswith(".model")
+    if not plain:
+        from cubespan.llm._tokens import encoder
+
+        store = encoder(path)
+
+    def counted(text: str):
+        """The number of tokens, and a function from places to (whether tokens begin there, the tokens before)."""
+        if not plain:
+            begin, before = store.boundaries(text)
+            if len(begin) > 2:
+
+                def by_store(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    edges = [0, *at.tolist()]
+                    at = np.cumsum([len(text[x:y].encode()) for x, y in zip(edges, edges[1:], strict=False)], dtype=np.int64)
+                    i = np.searchsorted(begin, at)
+                    return begin[i] == at, before[i]
+
+                return int(before[-1]), by_store
+        first, end = offsets(text)
+
+        def by_library(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            i = np.searchsorted(end, at, "right")
+            return np.append(first, len(text))[i] >= at, i
+
+        return len(first), by_library
+
     for b in batches:
         rows = []
         for h, k, last, start, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            begin, end = offsets(text)
-            row: list = [h, k, last, len(begin)]
+            n, look = counted(text)
+            row: list = [h, k, last, n]
             for lo, hi, wanted in ((0, overlap, k > 0), (chunk, chunk + overlap, not last)):
                 at = np.array(stable(text, lo, min(hi, len(text)), plain) if wanted else [], np.int64)
-                i = np.searchsorted(end, at, "right")
-                good = np.append(begin, len(text))[i] >= at
-                row += [(at[good] + start).tolist(), i[good].tolist()]
+                good, before = look(at)
+                row += [(at[good] + start).tolist(), before[good].tolist()]
             rows.append(row)
         if rows:
             names = [c.split()[0] for c in CODED_SCHEMA.split(", ")]
@@ -117,7 +151,7 @@ def splice(coded: DataFrame) -> DataFrame:
     return out.groupBy("h").agg(F.sum(upto - since).alias("n_tokens"), F.min(upto.isNotNull() & since.isNotNull()).alias("aligned"))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 32768, overlap_chars: int = 256, huge_chars: int = 65536) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 8192, overlap_chars: int = 256, huge_chars: int = 16384) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of docs; over_limit: more tokens than limit."""
     if tokenizer.endswith(".model") and not inner_space_free(tokenizer):
         raise ValueError("this model has pieces that go over spaces, so no boundary is proven stable")
@@ -138,9 +172,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
     small = rows.where(F.length("text") <= huge_chars).mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
     huge = rows.where(F.length("text") > huge_chars).select("doc_id", "n_bytes", F.sha2("text", 256).alias("h"), "text")
     counted, chunk, overlap, todo = None, chunk_chars, overlap_chars, huge.select("h", "text")
+    tasks = max(1, math.ceil((huge.agg(F.sum("n_bytes")).first()[0] or 0) / TASK_BYTES))
     while True:
         pieces = todo.mapInArrow(lambda it, c=chunk, o=overlap: cut(it, c, o), CHUNK_SCHEMA)
-        once = pieces.groupBy("h", "k").agg(*(F.first(c).alias(c) for c in ("last", "start", "chunk")))
+        once = pieces.repartition(tasks, "h", "k").groupBy("h", "k").agg(*(F.first(c).alias(c) for c in ("last", "start", "chunk")))
         coded = once.mapInArrow(lambda it, c=chunk, o=overlap: code(it, tokenizer, c, o), CODED_SCHEMA)
         done = table(splice(coded), "token-counts")
         aligned = done.where("aligned").select("h", "n_tokens")

@@ -218,6 +218,24 @@ def test_token_counts(docs, no_docs, rows, tokenizer, sizes):
         assert token_count.count_tokens(no_docs, tokenizer).count() == 0
 
 
+def test_token_chunks_by_pieces_and_by_tokens(rows, tokenizer):
+    """Chunks have the library's boundaries, whether the store can cut them or not."""
+    import pyarrow as pa
+
+    t = library(tokenizer)
+    texts = [x for _, x, *_ in rows if x and len(x) > 40][:30] + ["an odd\u00a0space and a\x07 bell in it, " * 3, "\u4e00\u4e8c \u00e9t\u00e9 na\u00efve it's " * 9]
+    chunk, overlap = 20, 20
+    names = [c.split()[0] for c in token_count.CHUNK_SCHEMA.split(", ")]
+    for text in texts:
+        part = pa.RecordBatch.from_arrays([pa.array([x]) for x in ("h", 1, False, 100, text)], names=names)
+        (got,) = token_count.code(iter([part]), tokenizer, chunk, overlap)
+        (row,) = got.to_pylist()
+        assert row["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids)
+        for at, n, lo in ((row["left_at"], row["left_n"], 0), (row["right_at"], row["right_n"], chunk)):
+            assert [p - 100 for p in at] == token_count.stable(text, lo, min(lo + overlap, len(text)))
+            assert n == [len(t.encode(text[: p - 100], add_special_tokens=False).ids) for p in at]
+
+
 def test_token_counts_by_pieces(docs, rows):
     import public_tokenizers
     import sentencepiece
@@ -402,6 +420,20 @@ def test_substring(docs, no_docs, rows, block_bytes):
         assert substring.remove_repeats(no_docs).count() == 0
 
 
+def test_passages_that_share_one_hash():
+    """Equal passages are equal in both hashes; those that share the first one only stay apart."""
+    import pyarrow as pa
+
+    u = lambda *x: np.array(x, np.uint64)
+    asked = [(0, u(5, 5, 9), u(1, 2, 7), np.array([10, 11, 12])), (1, u(9, 5, 5), u(8, 2, 3), np.array([20, 21, 22])), (2, u(), u(), np.array([], np.int64))]
+    part = pa.concat_tables([substring._ask(blk, keys, checks, docs, 1) for blk, keys, checks, docs in asked])
+    told = substring._tell((pa.scalar(0),), part, later=True)
+    one = substring._table(told.filter(pa.compute.equal(told["blk"], 1)))
+    assert [x.tolist() for x in one] == [[5], [2], [11]]
+    hit, at = substring._found(u(4, 5, 5, 5, 8), u(0, 1, 2, 4, 6), u(5, 5, 5, 8, 9, 3, 5), u(2, 3, 4, 6, 6, 0, 1))
+    assert hit.tolist() == [True, False, True, True, False, False, True] and at[hit].tolist() == [2, 3, 4, 1]
+
+
 def test_every_window_has_an_anchor():
     g = _text.mix(np.random.default_rng(7).integers(0, 50, 300).astype(np.uint64))
     at = set(substring.anchors(g, np.ones(300 - 9, bool), 10).tolist())
