@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,17 +78,18 @@ class Encoder:
         n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
-    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places in bytes where tokens begin whatever stands before and after (last: the end), and the tokens before each.
+    def boundaries(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places in bytes where tokens begin whatever stands before and after (last: the end), and the tokens before each.
 
         A text that goes to the library as a whole has its two ends only.
         """
-        data = np.frombuffer(text.encode(), np.uint8)
-        off = np.array([0, len(data)], np.int64)
-        if not len(data):
-            return off[:1], off[:1]
-        starts, _, size = self._sizes(data, off)[:3]
-        return np.append(starts, len(data)), np.concatenate([[0], np.cumsum(size)])
+        data, off = _text.utf8(column)
+        for i, j in _text.parts(off, self.part_bytes):
+            part, edges = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            starts, owner, size = self._sizes(part, edges)[:3] if len(part) else np.zeros((3, 0), np.int64)
+            cuts = np.searchsorted(owner, np.arange(j - i + 1))
+            for x, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                yield np.append(starts[a:z], edges[x + 1]) - edges[x], np.concatenate([[0], np.cumsum(size[a:z])])
 
     def _odd(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Documents that go to the library as a whole."""

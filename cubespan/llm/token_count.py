@@ -97,24 +97,24 @@ def cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator
 def code(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     """CODED_SCHEMA for CHUNK_SCHEMA: stable token boundaries in both overlaps, with the tokens before them."""
     offsets, plain = library_offsets(path), path.endswith(".model")
-    if not plain:
+    if plain:
+        pieces = lambda column: [(np.zeros(1, np.int64),) * 2] * len(column)
+    else:
         from cubespan.llm._tokens import encoder
 
-        store = encoder(path)
+        pieces = encoder(path).boundaries
 
-    def counted(text: str):
+    def counted(text: str, begin: np.ndarray, before: np.ndarray):
         """The number of tokens, and a function from places to (whether tokens begin there, the tokens before)."""
-        if not plain:
-            begin, before = store.boundaries(text)
-            if len(begin) > 2:
+        if len(begin) > 2:
 
-                def by_store(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                    edges = [0, *at.tolist()]
-                    at = np.cumsum([len(text[x:y].encode()) for x, y in zip(edges, edges[1:], strict=False)], dtype=np.int64)
-                    i = np.searchsorted(begin, at)
-                    return begin[i] == at, before[i]
+            def by_store(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                edges = [0, *at.tolist()]
+                at = np.cumsum([len(text[x:y].encode()) for x, y in zip(edges, edges[1:], strict=False)], dtype=np.int64)
+                i = np.searchsorted(begin, at)
+                return begin[i] == at, before[i]
 
-                return int(before[-1]), by_store
+            return int(before[-1]), by_store
         first, end = offsets(text)
 
         def by_library(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +125,8 @@ def code(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int)
 
     for b in batches:
         rows = []
-        for h, k, last, start, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            n, look = counted(text)
+        for h, k, last, start, text, known in zip(*(c.to_pylist() for c in b.columns), pieces(b.column(4)), strict=True):
+            n, look = counted(text, *known)
             row: list = [h, k, last, n]
             for lo, hi, wanted in ((0, overlap, k > 0), (chunk, chunk + overlap, not last)):
                 at = np.array(stable(text, lo, min(hi, len(text)), plain) if wanted else [], np.int64)
