@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import struct
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ except (OSError, AttributeError):
     _libc = None
 #: Bytes of text in a block of documents, and about as much in a bucket of hashes.
 BLOCK_BYTES = 8 << 20
+#: Bytes of an Arrow batch between Spark and Python. Spark's own bound would let a few long texts or messages fill an executor's memory beside its heap.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(df: DataFrame, what: str, **options: str) -> DataFrame:
@@ -35,8 +39,17 @@ def table(df: DataFrame, what: str, **options: str) -> DataFrame:
     return out
 
 
-def release() -> None:
-    """Gives freed memory back to the machine. Python workers stay after a task, and several of an executor would each keep what the largest block took."""
+def small_batches(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller already; a batch has one row at least."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def release(encoders: bool = False) -> None:
+    """Gives freed memory back to the machine. Python workers stay after a task, and several of an executor would each keep what the largest block took, and the encoders of an operator before, unless encoders."""
+    if not encoders and (tokens := sys.modules.get("cubespan.llm._tokens")):
+        tokens._loaded.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -95,6 +108,7 @@ def look_up(rows: DataFrame, small: DataFrame, key: str, total: int, how: str =
 
 def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
     """How many blocks of about block_bytes of text the documents make: it grows with the input."""
+    small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(1, math.ceil(total / block_bytes))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespan.llm import _text
-from cubespan.llm._shared import release, row_hash, table, whole_row
+from cubespan.llm._shared import release, row_hash, small_batches, table, whole_row
 
 #: A group of shards draws fewer slots than that, the most that numpy's hypergeometric draw is exact for.
 GROUP_SLOTS = 1 << 28
@@ -160,6 +160,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(1.0, 2.0, 3.0), most: float = 3.0, block_words: int = 128, shard_slots: int = 1 << 14, seed: int = 9) -> None:
         """weights: by position of the source in the order of code points, null last, repeating."""
+        small_batches(docs)
         self.spark, self.block_words, self.seed = docs.sparkSession, block_words, seed
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("copy"), word_count(F.col(text)).alias("size"))
         # Sizes are used three times; texts are read for them once.

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubespan.llm import _shared
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -93,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", t
     """One row of SCHEMA for each piece. One pass over the documents, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from cubespan.llm import _shared, _text
+        from cubespan.llm import _text
         from cubespan.llm._tokens import encoder
 
         encode = encoder(tokenizer)
@@ -138,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", t
                     yield flush()
         if rests:
             yield flush()
-        _shared.release()
+        _shared.release(encoders=True)
 
+    _shared.small_batches(docs)
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)

@@ -139,12 +139,14 @@ def judge(rules: Rules, batches: Iterator[pa.RecordBatch], with_text: bool = Fal
 
 def line_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules | None = None) -> DataFrame:
     """One row of SCHEMA for each document, without the cleaned text. One pass, no shuffle."""
+    _shared.small_batches(docs)
     chosen = rules or Rules()
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(lambda it: judge(chosen, it), SCHEMA)
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules | None = None) -> DataFrame:
     """The documents that pass, with their bad lines removed; columns and types as in docs. One pass, no shuffle."""
+    _shared.small_batches(docs)
     chosen, names = rules or Rules(), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

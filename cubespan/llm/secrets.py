@@ -365,6 +365,7 @@ def findings(column: pa.Array, forest: Forest, threshold: float, min_length: int
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Forest | None = None, threshold: float = 0.5, min_length: int = 12) -> DataFrame:
     """One row of SCHEMA for each document; spans as "start-end" in characters. One pass, no shuffle."""
+    _shared.small_batches(docs)
     model = forest or default_forest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,6 +384,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Fo
 
 def redact(docs: DataFrame, text: str = "text", forest: Forest | None = None, threshold: float = 0.5, min_length: int = 12) -> DataFrame:
     """docs with each secret in the text column replaced by MASK; all rows and columns stay."""
+    _shared.small_batches(docs)
     model, at = forest or default_forest(), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubespan.llm._shared import table
+from cubespan.llm._shared import small_batches, table
 
 #: Bytes of chunks that a task encodes, about.
 TASK_BYTES = 4 << 20
@@ -155,6 +155,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of docs; over_limit: more tokens than limit."""
     if tokenizer.endswith(".model") and not inner_space_free(tokenizer):
         raise ValueError("this model has pieces that go over spaces, so no boundary is proven stable")
+    small_batches(docs)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer.endswith(".model"):

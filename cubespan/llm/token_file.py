@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cubespan.llm._shared import small_batches
+
 SCHEMA = "part int, place long, doc_id long, n_tokens long, ids array<int>"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -48,6 +50,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(place + np.arange(len(n))), b.column(0).slice(i, j - i), pa.array(n), lists], names=["part", "place", "doc_id", "n_tokens", "ids"])
                 place += len(n)
 
+    small_batches(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
 
@@ -88,6 +91,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     the number column alone, one row a file.
     """
     stored = read(spark, path)
+    small_batches(stored)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = totals.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
 

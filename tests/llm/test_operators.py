@@ -68,6 +68,29 @@ def test_components(spark):
     assert _graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_batches(spark):
+    """Batches have a bound in bytes, one row at least, and a smaller bound of the session stays."""
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows for b in batches], pa.int64())], names=["n"])
+
+    before = spark.conf.get(_shared._BATCH)
+    try:
+        docs = spark.createDataFrame([(k, "x" * 1000) for k in range(300)] + [(300, "y" * 200_000)], "doc_id long, text string").coalesce(1)
+        spark.conf.set(_shared._BATCH, "100000")
+        _shared.small_batches(docs)
+        assert spark.conf.get(_shared._BATCH) == "100000"
+        n = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(n) == 301 and max(n) < 150 and min(n) >= 1
+        for df in (quality.line_first(docs), substring.remove_repeats(docs), secrets.scan(docs)):
+            assert df.count() == 301
+        spark.conf.set(_shared._BATCH, "1g")
+        _shared.small_batches(docs)
+        assert int(spark.conf.get(_shared._BATCH)) == _shared.BATCH_BYTES
+    finally:
+        spark.conf.set(_shared._BATCH, before)
+
+
 # 1
 
 
